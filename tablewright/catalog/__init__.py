@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("data",)
+_MODULES = ("data", "features")
 
 
 def load_all() -> None:
