@@ -187,11 +187,11 @@ class NeighbourFill:
         for asking in [r["_pattern"] for r in rows.select("_pattern").distinct().collect()]:
             queries = rows.where(F.col("_pattern") == asking)
             for giving in self.patterns:
-                shared = [c for i, c in enumerate(self.columns) if asking & giving >> i & 1]
+                shared = [c for i, c in enumerate(self.columns) if (asking & giving) >> i & 1]
                 if not shared:
                     continue
                 for i, target in enumerate(self.columns):
-                    if giving >> i & 1 and not asking >> i & 1:
+                    if (giving >> i) & 1 and not (asking >> i) & 1:
                         found.append(self._search(queries, giving, shared, target))
         if not found:
             return None

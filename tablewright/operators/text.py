@@ -25,14 +25,18 @@ def tokens(text: Column) -> Column:
 
 def ngrams(words: Column, smallest: int = 1, largest: int = 2) -> Column:
     """All word n-grams of the given lengths, joined by one space."""
-    parts = []
-    for n in range(smallest, largest + 1):
-        if n == 1:
-            parts.append(words)
-            continue
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(
-            F.array().cast("array<int>"))
-        parts.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
+    def at_least(n: int) -> Column:
+        return F.greatest(F.size(words) - n, F.lit(0))
+
+    parts, run = [], words
+    for n in range(1, largest + 1):
+        if n > 1:
+            # Pair every run of n-1 words with the word that follows it.
+            following = F.slice(words, n, at_least(n - 1))
+            before = F.slice(run, 1, at_least(n - 1))
+            run = F.zip_with(before, following, lambda a, b: F.concat(a, F.lit(" "), b))
+        if n >= smallest:
+            parts.append(run)
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
