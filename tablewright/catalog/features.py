@@ -558,11 +558,11 @@ def sel_mi_regression(spark, sf_dir):
 
 
 @query("sel_topk", "SELECT * FROM (" + _mi_sql(("l_quantity", "l_discount", "l_tax"), "l_extendedprice", True)
-       + ") WHERE score >= 0.001 ORDER BY score DESC, feature LIMIT 2")
+       + ") WHERE score >= 0 ORDER BY score DESC, feature LIMIT 2")
 def sel_topk(spark, sf_dir):
     scores = select.mutual_information(
         table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", regression=True)
-    return select.top_features(scores, 0.001, 2).withColumn("score", F.round("score", 9))
+    return select.top_features(scores, 0.0, 2).withColumn("score", F.round("score", 9))
 
 
 @query("sel_lasso")

@@ -15,6 +15,7 @@ from tablewright.operators.schema import numeric_columns
 
 STRATEGIES = ("standard", "minmax", "robust", "maxabs", "power", "quantile", "none")
 _CLIP = 1e-7
+_BLOCK = 32
 
 
 def _real(df: DataFrame, column: str) -> Column:
@@ -74,15 +75,12 @@ def fit_scaler(df: DataFrame, strategy: str = "robust", columns: Sequence[str] |
 # --- power (Yeo-Johnson) ---------------------------------------------------------
 
 
-def yeo_johnson(x: Column, power: float) -> Column:
-    if abs(power) < 1e-12:
-        right = F.log1p(x)
-    else:
-        right = (F.pow(x + 1.0, F.lit(power)) - 1.0) / power
-    if abs(power - 2.0) < 1e-12:
-        left = -F.log1p(-x)
-    else:
-        left = -(F.pow(1.0 - x, F.lit(2.0 - power)) - 1.0) / (2.0 - power)
+def yeo_johnson(x: Column, power: float | Column) -> Column:
+    """The transform for one exponent, given as a number or as a column."""
+    p = power if isinstance(power, Column) else F.lit(float(power))
+    rest = 2.0 - p
+    right = F.when(F.abs(p) < 1e-12, F.log1p(x)).otherwise(F.try_divide(F.pow(x + 1.0, p) - 1.0, p))
+    left = F.when(F.abs(rest) < 1e-12, -F.log1p(-x)).otherwise(-F.try_divide(F.pow(1.0 - x, rest) - 1.0, rest))
     return F.when(x >= 0, right).otherwise(left)
 
 
@@ -116,35 +114,38 @@ class PowerScale:
         return self._bend(self.linear.inverse_transform(df), inverse_yeo_johnson)
 
 
-def power_likelihood(x: Column, power: float) -> Column:
-    """Log-likelihood of an exponent as an aggregate over the rows."""
-    spread = F.var_pop(yeo_johnson(x, power))
-    jacobian = F.sum(F.signum(x) * F.log1p(F.abs(x)))
-    return F.when(spread > 0, -F.count(x) / 2.0 * F.log(spread) + (power - 1.0) * jacobian)
-
-
 def fit_power(df: DataFrame, columns: Sequence[str], low: float = -3.0, high: float = 5.0,
-              grid: int = 9, rounds: int = 6) -> PowerScale:
-    """Maximum likelihood by a shrinking grid; one aggregate job per round for all columns."""
-    values = df.select(*[_real(df, c).alias(c) for c in columns])
+              grid: int = 9, rounds: int = 7) -> PowerScale:
+    """Maximum likelihood by a shrinking grid; one map-side combined job per round.
+
+    Every value meets the few exponents of its column in long form, so the job stays
+    small however many columns there are.
+    """
+    columns = list(columns)
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), _real(df, c).alias("x")) for i, c in enumerate(columns)])
+    long = df.select(F.inline(cells)).where(F.col("x").isNotNull())
     ends = {c: (low, high) for c in columns}
-    best: dict[str, float] = {}
+    best: dict[str, float] = dict.fromkeys(columns, 1.0)    # constant or empty: left as it is
+    bent = yeo_johnson(F.col("x"), F.col("power"))
+    jacobian = F.sum(F.signum("x") * F.log1p(F.abs("x")))
     for _ in range(rounds):
-        grids = {c: [a + (b - a) * i / (grid - 1) for i in range(grid)] for c, (a, b) in ends.items()}
-        aggs = [power_likelihood(F.col(c), p).alias(f"l{i}_{j}")
-                for i, c in enumerate(columns) for j, p in enumerate(grids[c])]
-        row = values.agg(*aggs).first()
+        grids = {c: [a + (b - a) * j / (grid - 1) for j in range(grid)] for c, (a, b) in ends.items()}
+        powers = F.array(*[F.array(*[F.lit(p) for p in grids[c]]) for c in columns])
+        scored = (
+            long.select("i", "x", F.posexplode(F.get(powers, F.col("i"))).alias("j", "power"))
+            .groupBy("i", "j", "power")
+            .agg(F.count("x").alias("n"), F.var_pop(bent).alias("spread"), jacobian.alias("jacobian"))
+            .where(F.col("spread") > 0)
+            .select("i", "j", (-F.col("n") / 2.0 * F.log("spread") + (F.col("power") - 1.0) * F.col("jacobian")).alias("score"))
+            .collect()
+        )
         for i, c in enumerate(columns):
-            scores = [(row[f"l{i}_{j}"], j) for j in range(grid) if row[f"l{i}_{j}"] is not None]
-            if not scores:
-                best[c] = 1.0          # constant or empty: leave the values as they are
-                continue
-            j = max(scores)[1]
-            best[c] = grids[c][j]
-            step = grids[c][1] - grids[c][0]
-            ends[c] = (best[c] - step, best[c] + step)
-    bent = PowerScale(best)._bend(df, yeo_johnson)
-    return PowerScale(best, fit_scaler(bent, "standard", columns))
+            scores = [(r["score"], -r["j"]) for r in scored if r["i"] == i]
+            if scores:
+                best[c] = grids[c][-max(scores)[1]]
+                step = grids[c][1] - grids[c][0]
+                ends[c] = (best[c] - step, best[c] + step)
+    return PowerScale(best, fit_scaler(PowerScale(best)._bend(df, yeo_johnson), "standard", columns))
 
 
 # --- quantile to normal ----------------------------------------------------------
@@ -158,36 +159,60 @@ class QuantileScale:
     normal: bool = True
 
     def transform(self, df: DataFrame) -> DataFrame:
-        columns = []
-        for c in df.columns:
-            if c not in self.grids:
-                columns.append(F.col(c))
+        """Steps are separate projections, so that each position is worked out once."""
+        todo = [c for c in df.columns if c in self.grids]
+        tests = {"le": lambda x: lambda e: e <= x, "lt": lambda x: lambda e: e < x}
+        spots = [(c, side) for c in todo if self._varies(c) for side in tests]
+        out = df.select("*", *[_real(df, c).alias(f"_x_{c}") for c in todo])
+        # Edges in blocks: one look at the block starts, one inside the block.
+        nested = {
+            c: [self.grids[c][i:i + _BLOCK] for i in range(0, len(self.grids[c]), _BLOCK)] for c in todo}
+        edges = {c: F.array(*[F.array(*[F.lit(g) for g in block]) for block in nested[c]]) for c in todo}
+        starts = {c: F.array(*[F.lit(block[0]) for block in nested[c]]) for c in todo}
+        out = out.withColumns({
+            f"_b_{side}_{c}": F.greatest(F.size(F.filter(starts[c], tests[side](F.col(f"_x_{c}")))) - 1, F.lit(0))
+            for c, side in spots})
+        out = out.withColumns({
+            f"_n_{side}_{c}": F.col(f"_b_{side}_{c}") * _BLOCK
+            + F.size(F.filter(F.get(edges[c], F.col(f"_b_{side}_{c}")), tests[side](F.col(f"_x_{c}"))))
+            for c, side in spots})
+        # n edges pass the test: the value is between edge n-1 and edge n.
+        out = out.withColumns({
+            f"_a_{side}_{c}": F.least(F.greatest(F.col(f"_n_{side}_{c}") - 1, F.lit(0)), F.lit(len(self.grids[c]) - 2))
+            for c, side in spots})
+
+        def edge(c: str, at: Column) -> Column:
+            return F.get(F.get(edges[c], F.floor(at / _BLOCK).cast("int")), F.pmod(at, F.lit(_BLOCK)))
+
+        out = out.withColumns({
+            f"_{name}_{side}_{c}": edge(c, F.col(f"_a_{side}_{c}") + shift)
+            for c, side in spots for name, shift in (("l", 0), ("r", 1))})
+        shares = {}
+        for c in todo:
+            x, grid = F.col(f"_x_{c}"), self.grids[c]
+            if not self._varies(c):
+                shares[c] = F.when(x.isNotNull(), 0.0)
                 continue
-            p = self._share(_real(df, c), self.grids[c])
-            if self.normal:
-                p = inverse_normal(F.least(F.greatest(p, F.lit(_CLIP)), F.lit(1.0 - _CLIP)))
-            columns.append(p.alias(c))
-        return df.select(*columns)
-
-    @staticmethod
-    def _share(x: Column, grid: tuple[float, ...]) -> Column:
-        """Mean of the two one-sided interpolations, so ties of the grid get their middle."""
-        last = len(grid) - 1
-        if last < 1 or grid[0] == grid[-1]:
-            return F.when(x.isNotNull(), 0.0)
-        edges = F.array(*[F.lit(g) for g in grid])
-
-        def interpolate(count: Column) -> Column:
-            # ``count`` edges lie at or below x: x is between edge count-1 and edge count.
-            at = F.least(F.greatest(count - 1, F.lit(0)), F.lit(last - 1))
-            left, right = F.get(edges, at), F.get(edges, at + 1)
-            inside = F.coalesce(F.try_divide(x - left, right - left), F.lit(0.0))
-            return (at + F.least(F.greatest(inside, F.lit(0.0)), F.lit(1.0))) / F.lit(float(last))
-
-        below = F.size(F.filter(edges, lambda e: e <= x))
-        strictly = F.size(F.filter(edges, lambda e: e < x))
-        share = (interpolate(below) + interpolate(strictly)) / 2.0
-        return F.when(x <= grid[0], 0.0).when(x >= grid[-1], 1.0).when(x.isNotNull(), share)
+            sides = []
+            for side in tests:
+                left, right = F.col(f"_l_{side}_{c}"), F.col(f"_r_{side}_{c}")
+                inside = F.coalesce(F.try_divide(x - left, right - left), F.lit(0.0))
+                sides.append((F.col(f"_a_{side}_{c}") + F.least(F.greatest(inside, F.lit(0.0)), F.lit(1.0)))
+                             / F.lit(float(len(grid) - 1)))
+            # The mean of both sides gives ties of the grid their middle.
+            share = (sides[0] + sides[1]) / 2.0
+            shares[c] = F.when(x <= grid[0], 0.0).when(x >= grid[-1], 1.0).when(x.isNotNull(), share)
+        out = out.withColumns({f"_p_{c}": share for c, share in shares.items()})
+
+        def result(c: str) -> Column:
+            p = F.col(f"_p_{c}")
+            return inverse_normal(F.least(F.greatest(p, F.lit(_CLIP)), F.lit(1.0 - _CLIP))) if self.normal else p
+
+        return out.select(*[result(c).alias(c) if c in self.grids else F.col(c) for c in df.columns])
+
+    def _varies(self, column: str) -> bool:
+        grid = self.grids[column]
+        return len(grid) > 1 and grid[0] != grid[-1]
 
     def inverse_transform(self, df: DataFrame) -> DataFrame:
         raise NotImplementedError("ties of the grid have no single inverse")
