@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("data", "features")
+_MODULES = ("data", "features", "evaluation", "monitoring")
 
 
 def load_all() -> None:
