@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("data", "features", "evaluation", "monitoring")
+_MODULES = ("data", "features", "evaluation", "monitoring", "models")
 
 
 def load_all() -> None:
