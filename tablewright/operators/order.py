@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from tablewright.functions.hashing import HASH_BITS
 from tablewright.session import hold
 
-_COUNTER_BUDGET = 65_536
+_COUNTER_BUDGET = 200_000
 _PREFIX_BITS = 12
 _SMALL_BUCKET = 1_000
 
@@ -62,15 +62,6 @@ def column_extent(df: DataFrame, values: Mapping[str, Column]) -> dict[str, tupl
     return {name: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, name in enumerate(names)}
 
 
-def _bucket_in(value: Column, interval: _Interval, buckets: int) -> Column:
-    low, high = interval.low, interval.high
-    if isinstance(low, int) and isinstance(high, int):
-        width = (high - low) // buckets + 1
-        return F.floor((value - F.lit(low)) / F.lit(width)).cast("int")
-    share = (value - F.lit(low)) / F.lit(high - low)
-    return F.least(F.lit(buckets - 1), F.floor(share * buckets).cast("int"))
-
-
 def select_ranks(
     df: DataFrame,
     values: Mapping[str, Column],
@@ -91,42 +82,31 @@ def select_ranks(
         else:
             open_parts[name] = [_Interval(low, high, 0, wanted)]
 
+    if not open_parts:
+        return found
+    # Long form (column number, value): the plan does not grow with columns or ranks.
+    names = list(open_parts)
+    whole = [isinstance(open_parts[name][0].low, int) for name in names]
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("col"),
+                 (F.lit(None) if whole[i] else values[name]).cast("double").alias("real"),
+                 (values[name] if whole[i] else F.lit(None)).cast("bigint").alias("whole"))
+        for i, name in enumerate(names)])))
     while open_parts:
-        n_intervals = sum(len(parts) for parts in open_parts.values())
-        buckets = max(16, _COUNTER_BUDGET // n_intervals)
-        names = list(open_parts)
-        cells = []
-        for position, name in enumerate(names):
-            value = values[name]
-            part, bucket = F.lit(None).cast("int"), F.lit(None).cast("int")
-            for i, interval in enumerate(open_parts[name]):
-                inside = value.between(F.lit(interval.low), F.lit(interval.high))
-                part = F.when(inside, i).otherwise(part)
-                bucket = F.when(inside, _bucket_in(value, interval, buckets)).otherwise(bucket)
-            cells.append(F.struct(F.lit(position).alias("col"), part.alias("part"),
-                                  bucket.alias("bucket"), value.cast("double").alias("real"),
-                                  value.try_cast("bigint").alias("whole")))
-        counted = (
-            df.select(F.inline(F.array(*cells)))
-            .where(F.col("part").isNotNull())
-            .groupBy("col", "part", "bucket")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("real").alias("rlo"), F.max("real").alias("rhi"),
-                 F.min("whole").alias("wlo"), F.max("whole").alias("whi"))
-            .collect()
-        )
+        buckets = max(64, _COUNTER_BUDGET // sum(len(parts) for parts in open_parts.values()))
+        counted = _histogram(long, names, whole, open_parts, buckets)
         histogram: dict[tuple[int, int], list] = {}
         for row in counted:
             histogram.setdefault((row["col"], row["part"]), []).append(row)
         next_parts: dict[str, list[_Interval]] = {}
         for position, name in enumerate(names):
-            whole = isinstance(open_parts[name][0].low, int)
-            for i, interval in enumerate(open_parts[name]):
+            for i, interval in enumerate(open_parts.get(name, [])):
                 below = interval.below
                 pending = list(interval.ranks)
                 for row in sorted(histogram[(position, i)], key=lambda r: r["bucket"]):
                     inside = [r for r in pending if r < below + row["n"]]
                     pending = pending[len(inside):]
-                    low, high = (row["wlo"], row["whi"]) if whole else (row["rlo"], row["rhi"])
+                    low, high = (row["wlo"], row["whi"]) if whole[position] else (row["rlo"], row["rhi"])
                     if inside and low == high:
                         found[name].update({r: Ranked(low, below) for r in inside})
                     elif inside:
@@ -136,6 +116,41 @@ def select_ranks(
     return found
 
 
+def _histogram(long: DataFrame, names: list[str], whole: list[bool], parts: Mapping[str, list[_Interval]],
+               buckets: int) -> list:
+    """Counts and extent per (column, interval, equal-width bucket)."""
+
+    def per_column(pick, keep: Callable[[int], bool], sql_type: str) -> Column:
+        rows = [[pick(p) for p in parts.get(name, [])] if keep(i) else [] for i, name in enumerate(names)]
+        return F.get(F.array(*[F.array(*[F.lit(x) for x in row]).cast(f"array<{sql_type}>") for row in rows]), F.col("col"))
+
+    def real_side(i: int) -> bool:
+        return not whole[i]
+
+    def whole_side(i: int) -> bool:
+        return whole[i]
+
+    real, exact = F.col("real"), F.col("whole")
+    low_r, low_w = per_column(lambda p: p.low, real_side, "double"), per_column(lambda p: p.low, whole_side, "bigint")
+    width = per_column(lambda p: (p.high - p.low) // buckets + 1, whole_side, "bigint")
+    high_r, high_w = per_column(lambda p: p.high, real_side, "double"), per_column(lambda p: p.high, whole_side, "bigint")
+    # Intervals of a column are disjoint and ascending: the last one starting at or below.
+    part = F.when(real.isNotNull(), F.size(F.filter(low_r, lambda e: e <= real)) - 1).when(
+        exact.isNotNull(), F.size(F.filter(low_w, lambda e: e <= exact)) - 1)
+    placed = long.withColumn("part", part).where(F.col("part") >= 0)
+    at = F.col("part")
+    inside = F.coalesce(real <= F.get(high_r, at), F.lit(False)) | F.coalesce(exact <= F.get(high_w, at), F.lit(False))
+    share = (real - F.get(low_r, at)) / (F.get(high_r, at) - F.get(low_r, at))
+    bucket = F.when(real.isNotNull(), F.least(F.lit(buckets - 1), F.floor(share * buckets).cast("int"))).otherwise(
+        F.floor((exact - F.get(low_w, at)) / F.get(width, at)).cast("int"))
+    return (
+        placed.where(inside).withColumn("bucket", bucket).groupBy("col", "part", "bucket")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("real").alias("rlo"), F.max("real").alias("rhi"),
+             F.min("whole").alias("wlo"), F.max("whole").alias("whi"))
+        .collect()
+    )
+
+
 def quantiles(
     df: DataFrame, values: Mapping[str, Column], probabilities: Sequence[float]
 ) -> dict[str, list[float | None]]:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -221,8 +224,27 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None, max_colum
     return values.agg(F.array(*cells).alias("_cells")).select(F.inline("_cells"))
 
 
-def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> dict[tuple[str, str], float | None]:
-    """The same numbers on the driver, for rules over at most a few hundred columns."""
+def correlation_matrix(df: DataFrame, columns: list[str] | None = None, pairwise_limit: int = 12) -> dict[tuple[str, str], float | None]:
+    """The same numbers on the driver, for rules over at most a few hundred columns.
+
+    Wide tables without gaps use one distributed Gram matrix; with gaps, the pairs are
+    worked off in bounded aggregates.
+    """
     columns = columns or numeric_columns(df)
-    rows = correlation_pairs(df, columns, max_columns=len(columns), digits=15).collect()
-    return {(r["column_a"], r["column_b"]): r["r"] for r in rows}
+    values = df.select(*[_real(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+    pairs = list(combinations(range(len(columns)), 2))
+    if not pairs:
+        return {}
+    result: dict[tuple[str, str], float | None] = {}
+    if len(columns) > pairwise_limit:
+        facts = values.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in values.columns]).first()
+        if facts["rows"] > 1 and all(facts[c] == facts["rows"] for c in values.columns):
+            rows = VectorAssembler(inputCols=values.columns, outputCol="v").transform(values).select("v")
+            matrix = Correlation.corr(rows, "v").first()[0].toArray()
+            return {(columns[i], columns[j]): None if np.isnan(matrix[i, j]) else float(matrix[i, j]) for i, j in pairs}
+    chunk = 60
+    for start in range(0, len(pairs), chunk):
+        part = pairs[start:start + chunk]
+        row = values.agg(*[F.corr(f"c{i}", f"c{j}").alias(f"r{n}") for n, (i, j) in enumerate(part)]).first()
+        result.update({(columns[i], columns[j]): row[f"r{n}"] for n, (i, j) in enumerate(part)})
+    return result
