@@ -34,7 +34,7 @@ def ks_statistics(reference: DataFrame, current: DataFrame, columns: Sequence[st
 
     counts = _sides(reference, current, cells)
     runs = running_sums(counts, ["column"], "value", ["n_ref", "n_cur"])
-    totals = counts.groupBy("column").agg(F.sum("n_ref").alias("t_ref"), F.sum("n_cur").alias("t_cur"))
+    totals = runs.groupBy("column").agg(F.max("run_n_ref").alias("t_ref"), F.max("run_n_cur").alias("t_cur"))
     # One row per column: bounded by the schema.
     gaps = runs.join(F.broadcast(totals), "column").where("t_ref > 0 AND t_cur > 0")
     gap = F.abs(F.col("run_n_ref") / F.col("t_ref") - F.col("run_n_cur") / F.col("t_cur"))

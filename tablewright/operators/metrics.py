@@ -131,8 +131,8 @@ def roc_auc_ovr(df: DataFrame, scores: dict[object, Column], truth: str = "y_tru
 def roc_points(df: DataFrame, positive: Column, score: Column) -> DataFrame:
     """(threshold, fpr, tpr): one point per distinct score."""
     counts = _score_counts(df, positive, score, [])
-    total = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
     runs = running_sums(counts, [], "order", ["pos", "neg"])
+    total = runs.agg(F.max("run_pos").alias("p"), F.max("run_neg").alias("n")).first()
     return runs.select(
         (-F.col("order")).alias("threshold"),
         F.try_divide(F.col("run_neg"), F.lit(float(total["n"] or 0))).alias("fpr"),

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.hashing import HASH_BITS
+from tablewright.functions.literals import number_rows
 from tablewright.session import hold
 
 _COUNTER_BUDGET = 200_000
@@ -50,16 +51,40 @@ class Ranked:
     below: int
 
 
-def column_extent(df: DataFrame, values: Mapping[str, Column]) -> dict[str, tuple]:
-    """(count, min, max) of each expression in one aggregate job."""
+def column_extent(df: DataFrame, values: Mapping[str, Column], whole: Mapping[str, bool] | None = None) -> dict[str, tuple]:
+    """(count, min, max) of each numeric expression in one long, map-side combined job."""
     names = list(values)
-    aggs = []
+    whole = whole or whole_expressions(df, values)
+    found = (
+        _long_form(df, values, names, [whole[n] for n in names]).groupBy("col")
+        .agg(F.count("real").alias("nr"), F.count("whole").alias("nw"), F.min("real").alias("rlo"), F.max("real").alias("rhi"),
+             F.min("whole").alias("wlo"), F.max("whole").alias("whi"))
+        .collect()
+    )
+    rows = {r["col"]: r for r in found}
+    result = {}
     for i, name in enumerate(names):
-        column = values[name]
-        aggs += [F.count(column).alias(f"n{i}"), F.min(column).alias(f"lo{i}"),
-                 F.max(column).alias(f"hi{i}")]
-    row = df.agg(*aggs).first()
-    return {name: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, name in enumerate(names)}
+        r = rows.get(i)
+        if r is None:
+            result[name] = (0, None, None)
+        else:
+            result[name] = (r["nw"], r["wlo"], r["whi"]) if whole[name] else (r["nr"], r["rlo"], r["rhi"])
+    return result
+
+
+def whole_expressions(df: DataFrame, values: Mapping[str, Column]) -> dict[str, bool]:
+    """Which expressions are integers (kept exact) rather than doubles."""
+    schema = df.select(*[v.alias(f"c{i}") for i, v in enumerate(values.values())]).schema
+    return {name: isinstance(f.dataType, T.IntegralType) for name, f in zip(values, schema.fields, strict=True)}
+
+
+def _long_form(df: DataFrame, values: Mapping[str, Column], names: Sequence[str], whole: Sequence[bool]) -> DataFrame:
+    """(col, real, whole): one row per row and expression, so that plans do not grow wide."""
+    return df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("col"),
+                 (F.lit(None) if whole[i] else values[name]).cast("double").alias("real"),
+                 (values[name] if whole[i] else F.lit(None)).cast("bigint").alias("whole"))
+        for i, name in enumerate(names)])))
 
 
 def select_ranks(
@@ -84,14 +109,9 @@ def select_ranks(
 
     if not open_parts:
         return found
-    # Long form (column number, value): the plan does not grow with columns or ranks.
     names = list(open_parts)
     whole = [isinstance(open_parts[name][0].low, int) for name in names]
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("col"),
-                 (F.lit(None) if whole[i] else values[name]).cast("double").alias("real"),
-                 (values[name] if whole[i] else F.lit(None)).cast("bigint").alias("whole"))
-        for i, name in enumerate(names)])))
+    long = _long_form(df, values, names, whole)
     while open_parts:
         buckets = max(64, _COUNTER_BUDGET // sum(len(parts) for parts in open_parts.values()))
         counted = _histogram(long, names, whole, open_parts, buckets)
@@ -122,7 +142,7 @@ def _histogram(long: DataFrame, names: list[str], whole: list[bool], parts: Mapp
 
     def per_column(pick, keep: Callable[[int], bool], sql_type: str) -> Column:
         rows = [[pick(p) for p in parts.get(name, [])] if keep(i) else [] for i, name in enumerate(names)]
-        return F.get(F.array(*[F.array(*[F.lit(x) for x in row]).cast(f"array<{sql_type}>") for row in rows]), F.col("col"))
+        return F.get(number_rows(rows, sql_type), F.col("col"))
 
     def real_side(i: int) -> bool:
         return not whole[i]

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions.literals import number_row, number_rows
 from tablewright.functions.tails import inverse_normal
 from tablewright.operators.order import clean_number, column_extent, quantiles, running_sums
 from tablewright.operators.schema import numeric_columns
@@ -167,8 +168,8 @@ class QuantileScale:
         # Edges in blocks: one look at the block starts, one inside the block.
         nested = {
             c: [self.grids[c][i:i + _BLOCK] for i in range(0, len(self.grids[c]), _BLOCK)] for c in todo}
-        edges = {c: F.array(*[F.array(*[F.lit(g) for g in block]) for block in nested[c]]) for c in todo}
-        starts = {c: F.array(*[F.lit(block[0]) for block in nested[c]]) for c in todo}
+        edges = {c: number_rows(nested[c]) for c in todo}
+        starts = {c: number_row([block[0] for block in nested[c]]) for c in todo}
         out = out.withColumns({
             f"_b_{side}_{c}": F.greatest(F.size(F.filter(starts[c], tests[side](F.col(f"_x_{c}")))) - 1, F.lit(0))
             for c, side in spots})

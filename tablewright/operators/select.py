@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tablewright.operators.order import quantiles
 from tablewright.operators.profile import correlation_matrix
 from tablewright.operators.schema import numeric_columns, small_frame
+from tablewright.session import hold
 
 
 def _filled(column: str) -> Column:
@@ -97,7 +98,8 @@ def mutual_information(df: DataFrame, columns: Sequence[str], target: str, bins:
     cells = F.array(*[
         F.struct(F.lit(c).alias("feature"), _bin(values[f"x{i}"], inner[f"x{i}"]).alias("bin"), label.alias("label"))
         for i, c in enumerate(columns)])
-    joint = known.select(F.inline(cells)).groupBy("feature", "bin", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    joint = hold(
+        known.select(F.inline(cells)).groupBy("feature", "bin", "label").agg(F.count(F.lit(1)).cast("double").alias("n")))
     # I = H(bin) + H(label) - H(bin, label), from sums of n ln n on tables of counts.
     pairs = joint.groupBy("feature").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("both"))
     margins = {}

@@ -15,6 +15,7 @@ from tablewright.operators.scale import fit_scaler
 from tablewright.operators.schema import datetime_columns, numeric_columns, string_columns
 from tablewright.operators.select import select_features
 from tablewright.operators.text import FittedText, detect_text_columns, fit_text
+from tablewright.session import hold
 
 
 @dataclass(frozen=True)
@@ -144,6 +145,8 @@ def fit_features(
     booleans = [c for c, t in out.dtypes if t == "boolean" and c not in carried]
     if booleans:
         raise ValueError(f"cast boolean columns to int first: {booleans}")
+    # Scaling and generation are cheap projections; what comes before is read many times.
+    held = out = hold(out)
     scaler = fit_scaler(out, options.scaling, [c for c in numeric_columns(out) if c not in carried])
     out = scaler.transform(out)
     if options.generate:
@@ -153,6 +156,7 @@ def fit_features(
         chosen = set(select_features(out, target, classification, options.selection, outputs,
                                      max_features=options.max_features))
         outputs = [c for c in outputs if c in chosen]
+    held.unpersist()
     return FittedFeatures(tuple(inputs), tuple(carried), key, options, fill, dates, tuple(texts),
                           tuple(encoders), scaler, options.generate, tuple(outputs))
 
