@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from tablewright.functions.hashing import HASH_BITS
 from tablewright.functions.literals import number_rows
-from tablewright.session import hold
+from tablewright.session import hold, spread
 
 _COUNTER_BUDGET = 200_000
 _PREFIX_BITS = 12
@@ -80,10 +80,11 @@ def whole_expressions(df: DataFrame, values: Mapping[str, Column]) -> dict[str,
 
 def _long_form(df: DataFrame, values: Mapping[str, Column], names: Sequence[str], whole: Sequence[bool]) -> DataFrame:
     """(col, real, whole): one row per row and expression, so that plans do not grow wide."""
-    return df.select(F.inline(F.array(*[
+    picked = spread(df.select(*[values[name].alias(f"v{i}") for i, name in enumerate(names)]))
+    return picked.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("col"),
-                 (F.lit(None) if whole[i] else values[name]).cast("double").alias("real"),
-                 (values[name] if whole[i] else F.lit(None)).cast("bigint").alias("whole"))
+                 (F.lit(None) if whole[i] else F.col(f"v{i}")).cast("double").alias("real"),
+                 (F.col(f"v{i}") if whole[i] else F.lit(None)).cast("bigint").alias("whole"))
         for i, name in enumerate(names)])))
 
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -205,46 +204,57 @@ def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
 
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None, max_columns: int = 20,
                       digits: int = 8) -> DataFrame:
-    """Pearson correlation of each pair of the first numeric columns, in one aggregate.
+    """Pearson correlation of each pair of the first numeric columns: (column_a, column_b, r).
 
     Pairs are complete case by case: a row missing one value still serves other pairs.
-    A pair with a constant side has no correlation (NULL).
+    A pair with a constant side has no correlation (NULL). Values are centred on the
+    column mean; every task reduces its Arrow batches to one set of pair sums by matrix
+    products, and only those sums are shuffled.
     """
     columns = (columns or numeric_columns(df))[:max_columns]
-    spark = df.sparkSession
-    pairs = list(combinations(columns, 2))
-    if not pairs:
-        return small_frame(spark, [], "column_a string, column_b string, r double")
-    values = df.select(*[_real(df, c).alias(c) for c in columns])
-    cells = [
-        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-                 F.round(F.corr(a, b), digits).alias("r"))
-        for a, b in pairs
-    ]
-    return values.agg(F.array(*cells).alias("_cells")).select(F.inline("_cells"))
-
-
-def correlation_matrix(df: DataFrame, columns: list[str] | None = None, pairwise_limit: int = 12) -> dict[tuple[str, str], float | None]:
-    """The same numbers on the driver, for rules over at most a few hundred columns.
-
-    Wide tables without gaps use one distributed Gram matrix; with gaps, the pairs are
-    worked off in bounded aggregates.
-    """
-    columns = columns or numeric_columns(df)
+    k = len(columns)
+    if k < 2:
+        return small_frame(df.sparkSession, [], "column_a string, column_b string, r double")
     values = df.select(*[_real(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
-    pairs = list(combinations(range(len(columns)), 2))
-    if not pairs:
-        return {}
-    result: dict[tuple[str, str], float | None] = {}
-    if len(columns) > pairwise_limit:
-        facts = values.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in values.columns]).first()
-        if facts["rows"] > 1 and all(facts[c] == facts["rows"] for c in values.columns):
-            rows = VectorAssembler(inputCols=values.columns, outputCol="v").transform(values).select("v")
-            matrix = Correlation.corr(rows, "v").first()[0].toArray()
-            return {(columns[i], columns[j]): None if np.isnan(matrix[i, j]) else float(matrix[i, j]) for i, j in pairs}
-    chunk = 60
-    for start in range(0, len(pairs), chunk):
-        part = pairs[start:start + chunk]
-        row = values.agg(*[F.corr(f"c{i}", f"c{j}").alias(f"r{n}") for n, (i, j) in enumerate(part)]).first()
-        result.update({(columns[i], columns[j]): row[f"r{n}"] for n, (i, j) in enumerate(part)})
-    return result
+    facts = values.agg(*[a for c in values.columns for a in (F.avg(c).alias(f"m{c}"), F.var_pop(c).alias(f"v{c}"))]).first()
+    means = [facts[f"m{c}"] or 0.0 for c in values.columns]
+    centred = values.select(*[(F.col(c) - F.lit(m)).alias(c) for c, m in zip(values.columns, means, strict=True)])
+
+    def pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, k, k))
+        for batch in batches:
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(k)]).astype(float)
+            known = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x, nan=0.0)
+            total += np.stack([known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x])
+        cell = np.arange(k * k)
+        yield pa.RecordBatch.from_pydict({
+            "i": cell // k, "j": cell % k, "n": total[0].ravel(), "s": total[1].ravel(), "q": total[2].ravel(), "xy": total[3].ravel()})
+
+    sums = centred.mapInArrow(pair_sums, "i bigint, j bigint, n double, s double, q double, xy double").groupBy(
+        F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+    ahead = F.col("i") < F.col("j")
+    joined = sums.agg(
+        F.sum(F.when(ahead, F.col("n"))).alias("n"), F.sum(F.when(ahead, F.col("xy"))).alias("xy"),
+        F.sum(F.when(ahead, F.col("s"))).alias("sa"), F.sum(F.when(ahead, F.col("q"))).alias("qa"),
+        F.sum(F.when(~ahead, F.col("s"))).alias("sb"), F.sum(F.when(~ahead, F.col("q"))).alias("qb"),
+    ).where("a < b")
+    # Rounding leaves a constant column a variance of almost nothing: that counts as none.
+    floors = F.array(*[F.lit(1e-14 * (facts[f"v{c}"] or 0.0) + 1e-300) for c in values.columns])
+    n = F.col("n")
+    spread_a, spread_b = F.col("qa") - F.col("sa") * F.col("sa") / n, F.col("qb") - F.col("sb") * F.col("sb") / n
+    varies = (n > 1) & (spread_a > n * F.get(floors, F.col("a"))) & (spread_b > n * F.get(floors, F.col("b")))
+    constant = [c for c in values.columns if not facts[f"v{c}"]]
+    for c in constant:
+        varies = varies & (F.col("a") != values.columns.index(c)) & (F.col("b") != values.columns.index(c))
+    r = F.when(varies, (F.col("xy") - F.col("sa") * F.col("sb") / n) / F.sqrt(spread_a * spread_b))
+    names = F.array(*[F.lit(c) for c in columns])
+    return joined.select(F.get(names, F.col("a")).alias("column_a"), F.get(names, F.col("b")).alias("column_b"),
+                         F.round(F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)), digits).alias("r"))
+
+
+def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> dict[tuple[str, str], float | None]:
+    """The same numbers on the driver, for rules over at most a few hundred columns."""
+    columns = columns or numeric_columns(df)
+    rows = correlation_pairs(df, columns, max_columns=len(columns), digits=15).collect()
+    return {(r["column_a"], r["column_b"]): r["r"] for r in rows}

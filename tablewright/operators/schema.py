@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.session import spread
+
 # Inclusive limits of the signed integer widths, narrowest first.
 INTEGER_WIDTHS = (
     ("tinyint", -128, 127),
@@ -113,7 +115,7 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     cells = F.array(*[
         F.struct(F.lit(c).alias("column"), _as_text(df, c).alias("value")) for c in columns
     ])
-    return df.select(F.inline(cells)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return spread(df.select(*columns)).select(F.inline(cells)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _as_text(df: DataFrame, column: str):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.hashing import hash_slot
 from tablewright.operators.schema import string_columns
+from tablewright.session import spread
 
 # Fixed value: words are runs of two or more letters, digits or underscores.
 WORD = r"[\p{L}\p{N}_]{2,}"
@@ -46,7 +47,7 @@ def with_tokens(df: DataFrame, column: str) -> DataFrame:
 
 def _grams(df: DataFrame, column: str, spans: tuple[int, int]) -> DataFrame:
     # The words are extracted once in their own projection, then combined.
-    worded = df.withColumn("_words", tokens(F.col(column)))
+    worded = spread(df).withColumn("_words", tokens(F.col(column)))
     return worded.withColumn("_grams", ngrams(F.col("_words"), *spans)).drop("_words")
 
 
