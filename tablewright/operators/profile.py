@@ -247,10 +247,11 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None, max_colum
     constant = [c for c in values.columns if not facts[f"v{c}"]]
     for c in constant:
         varies = varies & (F.col("a") != values.columns.index(c)) & (F.col("b") != values.columns.index(c))
-    r = F.when(varies, (F.col("xy") - F.col("sa") * F.col("sb") / n) / F.sqrt(spread_a * spread_b))
+    r = (F.col("xy") - F.col("sa") * F.col("sb") / n) / F.sqrt(spread_a * spread_b)
+    r = F.when(varies, F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
     names = F.array(*[F.lit(c) for c in columns])
     return joined.select(F.get(names, F.col("a")).alias("column_a"), F.get(names, F.col("b")).alias("column_b"),
-                         F.round(F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)), digits).alias("r"))
+                         F.round(r, digits).alias("r"))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> dict[tuple[str, str], float | None]:

@@ -89,8 +89,12 @@ def read_table(
 
 def write_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "overwrite",
                 partition_by: list[str] | None = None, **options: object) -> None:
-    """Write as the format of the extension; Feather gives one file per Arrow batch."""
+    """Write as the format of the extension; Feather gives one file per Arrow batch.
+
+    Missing values are written as NULL, also where they were NaN.
+    """
     fmt = fmt or format_of(path)
+    df = nan_to_null(df)
     if fmt == "feather":
         write_feather(df, path)
         return
