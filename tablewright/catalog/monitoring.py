@@ -106,10 +106,9 @@ def perf_last_n(spark, sf_dir):
 
 @query("perf_rolling", f"""WITH {_EVENTS_SQL}
 SELECT user_id, event_id, ts, round(avg(abs(y_true - y_pred)) OVER w, 6) AS mae, round(sqrt(avg((y_true - y_pred) * (y_true - y_pred)) OVER w), 6) AS rmse, count(*) OVER w AS window_rows
-FROM e WINDOW w AS (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)""")
+FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
 def perf_rolling(spark, sf_dir):
-    daily = _predictions(spark, sf_dir).withColumn("day", F.to_date("ts"))
-    rolled = performance.rolling_metrics(daily, ["user_id", "day"], "ts", "event_id", 50)
+    rolled = performance.rolling_metrics(_predictions(spark, sf_dir), ["user_id"], "ts", "event_id", 20, block=25)
     return rolled.select("user_id", "event_id", "ts", F.round("mae", 6).alias("mae"), F.round("rmse", 6).alias("rmse"), "window_rows")
 
 

@@ -153,11 +153,3 @@ def importances(model, features: Sequence[str], spark) -> DataFrame:
         raise ValueError("the model has no importances")
     rows = [(f, float(w)) for f, w in zip(features, weights, strict=True)]
     return small_frame(spark, rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
-
-
-def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """Rows with ``weight`` = n / (classes * class rows): rare classes count more."""
-    counts = df.groupBy(label).count().collect()
-    total = sum(r["count"] for r in counts)
-    pairs = [x for r in counts for x in (F.lit(r[label]), F.lit(total / (len(counts) * r["count"])))]
-    return df.withColumn("weight", F.create_map(*pairs)[F.col(label)])

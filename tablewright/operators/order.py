@@ -22,7 +22,7 @@ from tablewright.functions.hashing import HASH_BITS
 from tablewright.functions.literals import number_rows
 from tablewright.session import hold, spread
 
-_COUNTER_BUDGET = 200_000
+_COUNTER_BUDGET = 20_000
 _PREFIX_BITS = 12
 _SMALL_BUCKET = 1_000
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewright.operators.metrics import HIGHER_IS_BETTER
+from tablewright.operators.order import running_sums
 
 LEVELS = ("INFO", "WARNING", "CRITICAL")
 
@@ -18,15 +19,31 @@ def last_rows(df: DataFrame, time: str, key: str, n: int = 1000) -> DataFrame:
 
 
 def rolling_metrics(df: DataFrame, partition: Sequence[str], time: str, key: str, n: int = 1000,
-                    truth: str = "y_true", predicted: str = "y_pred") -> DataFrame:
-    """mae and rmse over the last n rows at every row.
+                    truth: str = "y_true", predicted: str = "y_pred", block: int = 100_000) -> DataFrame:
+    """mae and rmse over the last n rows of the partition (a model) at every row.
 
-    ``partition`` (model, day) bounds the rows one task orders.
+    One partition may hold most of the rows, so it is cut into blocks by row number;
+    every block also gets the n - 1 rows before it, and no task orders more than that.
+    ``key`` identifies rows.
     """
-    window = Window.partitionBy(*partition).orderBy(time, key).rowsBetween(-(n - 1), Window.currentRow)
+    block = max(block, n)
+    partition = list(partition)
     e = F.col(truth).cast("double") - F.col(predicted).cast("double")
-    return df.select(*partition, key, time, F.avg(F.abs(e)).over(window).alias("mae"),
-                     F.sqrt(F.avg(e * e).over(window)).alias("rmse"), F.count(e).over(window).alias("window_rows"))
+    rows = df.select(*partition, F.struct(F.col(time).alias("t"), F.col(key).alias("k")).alias("_at"),
+                     e.alias("_e"), F.lit(1).cast("bigint").alias("_one"))
+    number = F.col("run__one") - 1
+    own = F.floor(number / block).cast("bigint")
+    ends_block = F.pmod(number, F.lit(block).cast("bigint")) > block - n
+    numbered = running_sums(rows, partition, "_at", ["_one"]).withColumn("_own", own).withColumn(
+        "_block", F.explode(F.array_compact(F.array(F.col("_own"), F.when(ends_block, F.col("_own") + 1)))))
+    window = Window.partitionBy(*partition, "_block").orderBy("_at").rowsBetween(-(n - 1), Window.currentRow)
+    return (
+        numbered.withColumn("mae", F.avg(F.abs("_e")).over(window))
+        .withColumn("rmse", F.sqrt(F.avg(F.col("_e") * F.col("_e")).over(window)))
+        .withColumn("window_rows", F.count("_e").over(window))
+        .where(F.col("_block") == F.col("_own"))
+        .select(*partition, F.col("_at.k").alias(key), F.col("_at.t").alias(time), "mae", "rmse", "window_rows")
+    )
 
 
 def degradation(baseline: DataFrame, current: DataFrame, threshold: float = 0.05) -> DataFrame:
