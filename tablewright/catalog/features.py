@@ -611,7 +611,7 @@ def fe_fit_transform(spark, sf_dir):
 def fe_documents(spark, sf_dir):
     """Text, category and number columns together, with selection by the label."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    fitted = fit_features(docs, "quality", True, FeatureOptions(text_features=50, max_features=20), key="doc_id")
+    fitted = fit_features(docs, "quality", True, FeatureOptions(text_features=50, generate=False, max_features=20), key="doc_id")
     out = fitted.transform(docs)
     names = [c for c in out.columns if c not in ("doc_id", "quality")]
     total = sum((F.col(f"`{c}`") for c in names), F.lit(0.0))
