@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tablewright.llm.common import partitions, plain_text
 
@@ -125,8 +126,8 @@ def _windows(table: pa.Table, shared: pa.Table) -> pa.Table:
     return pa.table({"window": window[new], "first": doc[new].astype(np.int64), "bucket": np.full(int(new.sum()), bucket, np.int64)})
 
 
-def _kept(table: pa.Table, earlier: pa.Table) -> pa.Table:
-    """Texts without words that stand in an earlier document's window."""
+def _kept(table: pa.Table, earlier: pa.Table, whole: bool) -> pa.Table:
+    """Texts without words that stand in an earlier document's window; ``whole`` leaves others as they were."""
     ids, texts = _texts(table)
     words = Words(texts)
     doc = ids[words.owner[words.at]] if len(words.at) else np.zeros(0, np.int64)
@@ -147,7 +148,7 @@ def _kept(table: pa.Table, earlier: pa.Table) -> pa.Table:
         first, n = int(words.first[k]), int(words.count[k])
         mask = removed[first:first + n]
         cut = int(mask.sum())
-        pieces = text.split()
+        pieces = text.split() if cut or not whole else [text]
         if cut:
             edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
             spans = [{"start": a, "end": b} for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
@@ -159,7 +160,8 @@ def _kept(table: pa.Table, earlier: pa.Table) -> pa.Table:
         out["spans"].append(spans if cut else [])
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     types = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "text": pa.string(), "spans": spans_type}
-    return pa.table({name: pa.array(out[name], kind) for name, kind in types.items()})
+    made = pa.table({name: pa.array(out[name], kind) for name, kind in types.items()})
+    return made.append_column("rest", table.column("rest")) if "rest" in table.column_names else made
 
 
 def _runs(column: str, emit):
@@ -199,18 +201,19 @@ def _later(table: pa.Table) -> pa.Table:
     return table.filter(pa.array(first > least)).select(["bucket", "window"])
 
 
-def remove_repeats(docs: DataFrame, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
-    """``(doc_id, n_words, n_removed, text, spans)`` for every row.
+def remove_repeats(docs: DataFrame, bucket_chars: int = BUCKET_CHARS, rest: list[str] | None = None, whole: bool = False) -> DataFrame:
+    """``(doc_id, n_words, n_removed, text, spans[, rest])`` for every row.
 
     A word goes if a window of 13 words covers it whose word sequence also starts in a
     document of smaller doc_id, judged on the input. text holds the kept words joined by one
-    space, spans the removed runs as word ranges (start, end). A NULL text has no words; a row
-    of NULL doc_id neither loses words nor takes them from others; rows of equal doc_id do not
-    take words from each other; other columns are not read; an empty table gives no rows.
+    space (with ``whole``, a text that loses nothing stays as it was), spans the removed runs
+    as word ranges (start, end), rest a struct of the columns named by ``rest``. A NULL text
+    has no words; a row of NULL doc_id neither loses words nor takes them from others; rows of
+    equal doc_id do not take words from each other; an empty table gives no rows.
     """
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), plain_text("text").alias("text"))
-    nameless = source.where("doc_id IS NULL")
+    extra = [F.struct(*rest).alias("rest")] if rest else []
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), plain_text("text").alias("text"), *extra)
     total = source.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(n, int(total // bucket_chars) + 1)
     placed = source.where("doc_id IS NOT NULL").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("bigint")).repartition(n, "bucket")
@@ -218,9 +221,17 @@ def remove_repeats(docs: DataFrame, bucket_chars: int = BUCKET_CHARS) -> DataFra
     shared = anchors.repartition(n, "anchor").sortWithinPartitions("anchor", "bucket").mapInArrow(_runs("anchor", _of_several), "bucket bigint, anchor bigint")
     windows = placed.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_windows, "window bigint, first bigint, bucket bigint")
     later = windows.repartition(n, "window").sortWithinPartitions("window", "first").mapInArrow(_runs("window", _later), "bucket bigint, window bigint")
-    schema = "doc_id bigint, n_words bigint, n_removed bigint, text string, spans array<struct<start:bigint,end:bigint>>"
-    kept = placed.groupBy("bucket").cogroup(later.groupBy("bucket")).applyInArrow(_kept, schema)
+    schema = StructType.fromDDL("doc_id bigint, n_words bigint, n_removed bigint, text string, spans array<struct<start:bigint,end:bigint>>")
+    if rest:
+        schema = StructType([*schema.fields, StructField("rest", source.schema["rest"].dataType)])
+
+    def kept(table: pa.Table, earlier: pa.Table) -> pa.Table:
+        return _kept(table, earlier, whole)
+
+    out = placed.groupBy("bucket").cogroup(later.groupBy("bucket")).applyInArrow(kept, schema)
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    apart = nameless.select("doc_id", F.size(words).cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_removed"),
-                            F.array_join(words, " ").alias("text"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-    return kept.unionByName(apart)
+    apart = source.where("doc_id IS NULL").select(
+        "doc_id", F.size(words).cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_removed"),
+        F.col("text") if whole else F.array_join(words, " ").alias("text"),
+        F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), *(["rest"] if rest else []))
+    return out.unionByName(apart)
