@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import plain_text, slices
 
 #: Entries of one generation of remembered words; at most two generations are held.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 _NONE = np.int64(1) << 62
 _BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space to Python but not to Unicode's property: texts with them take the slow way.
@@ -151,8 +151,8 @@ class Encoder:
         self.on_special = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")")
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] if self.words else _BYTE_SPLIT
         self.split = regex.compile(split)
-        self.special_ids = {i: int(i).to_bytes(4, "little") for i in self.special.values()}
-        self.pieces: dict[str, bytes] = {}
+        self.special_ids = {t: int(i).to_bytes(4, "little") for t, i in self.special.items()}
+        self.pieces: dict[str, bytes] = dict(self.special_ids)
         self.older: dict[str, bytes] = {}
 
     def _cut(self, text: str) -> list[str]:
@@ -167,12 +167,12 @@ class Encoder:
         first, *rest = text.split(" ")
         return [*([first] if first else []), *map(" ".__add__, rest)]
 
-    def _parts(self, text: str) -> list[str | int]:
+    def _parts(self, text: str) -> list[str]:
         if "<|" not in text:
             return self._cut(text)
-        out: list[str | int] = []
+        out: list[str] = []
         for i, part in enumerate(self.on_special.split(text)):
-            out.extend([self.special[part]] if i % 2 else self._cut(part))
+            out.extend([part] if i % 2 else self._cut(part))        # a cut piece is never a special token
         return out
 
     def _words(self, piece: str) -> list[str]:
@@ -183,14 +183,15 @@ class Encoder:
     def _learn(self, missing: set[str]) -> None:
         """Ids of new pieces into ``pieces``, which makes room by dropping its older generation."""
         if len(self.pieces) + len(missing) > CACHE_ENTRIES:
-            self.older, self.pieces = self.pieces, {}
+            self.older, self.pieces = self.pieces, dict(self.special_ids)
         older = self.older
         new = [p for p in missing if p not in older]
         self.pieces.update((p, older[p]) for p in missing if p in older)
         words = [self._words(p) for p in new]
-        fresh = list({w for ws in words for w in ws})
-        known = dict(zip(fresh, self.tree.encode([w.encode() for w in fresh])))
-        self.pieces.update((p, known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])) for p, ws in zip(new, words))
+        known = self.pieces
+        fresh = list({w for ws in words for w in ws if w not in known})
+        known.update(zip(fresh, self.tree.encode([w.encode() for w in fresh])))
+        known.update((p, b"".join([known[w] for w in ws])) for p, ws in zip(new, words) if len(ws) > 1)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -198,13 +199,12 @@ class Encoder:
         for start, stop in slices(texts):
             parts = [self._parts(t) for t in texts[start:stop]]
             ids = [list(map(self.pieces.get, p)) for p in parts]
-            gaps = {i: list(compress(count(), map(not_, v))) for i, v in enumerate(ids) if None in v}
-            missing = {parts[i][k] for i, at in gaps.items() for k in at}
-            self._learn({p for p in missing if isinstance(p, str)})
-            for i, at in gaps.items():
-                p, v = parts[i], ids[i]
+            gaps = [(p, v, list(compress(count(), map(not_, v)))) for p, v in zip(parts, ids) if None in v]
+            self._learn({p[k] for p, _, at in gaps for k in at})
+            known = self.pieces
+            for p, v, at in gaps:
                 for k in at:
-                    v[k] = self.pieces[p[k]] if isinstance(p[k], str) else self.special_ids[p[k]]
+                    v[k] = known[p[k]]
             out.extend(map(b"".join, ids))
         return out
 
