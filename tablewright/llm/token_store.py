@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.bpe import encoder
@@ -104,7 +104,7 @@ class Codes:
         return value
 
 
-_SEGMENT = "range int, segment bigint, n_docs int, n_tokens bigint, doc_ids binary, null_ids binary, lengths binary, codes binary"
+_SEGMENT = "range int, segment bigint, n_docs int, n_tokens bigint, before bigint, doc_ids binary, null_ids binary, lengths binary, codes binary"
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, segment_tokens: int = SEGMENT_TOKENS) -> str:
@@ -123,13 +123,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = encoder(tokenizer), int(end_id).to_bytes(4, "little")
         held: list[tuple] = []
-        size, place, number = 0, None, 0
+        size, place, number, before = 0, None, 0, 0
 
         def flush():
             ids = [d for d, _ in held]
             lengths = np.array([len(x) // 4 for _, x in held], "<u4")
             yield pa.RecordBatch.from_pydict({
-                "range": pa.array([place], pa.int32()), "segment": [number], "n_docs": pa.array([len(held)], pa.int32()), "n_tokens": [int(lengths.sum(dtype=np.int64))],
+                "range": pa.array([place], pa.int32()), "segment": [number], "n_docs": pa.array([len(held)], pa.int32()), "n_tokens": [int(lengths.sum(dtype=np.int64))], "before": [before],
                 "doc_ids": [np.array([d or 0 for d in ids], "<i8").tobytes()], "null_ids": [np.array([d is None for d in ids]).tobytes()],
                 "lengths": [lengths.tobytes()], "codes": [encode_codes(np.frombuffer(b"".join(x for _, x in held), "<u4"))]})
 
@@ -139,9 +139,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
                 for doc, ids, r in zip(docs_[start:stop], coder.encode(texts[start:stop]), places[start:stop]):
                     if held and (r != place or size + len(ids) // 4 >= segment_tokens):
                         yield from flush()
-                        held, size, number = [], 0, number + 1
+                        held, before, size, number = [], before + size, 0, number + 1
                     if r != place:
-                        place, number = r, 0
+                        place, number, before = r, 0, 0
                     held.append((doc, ids + end))
                     size += len(ids) // 4 + 1
         if held:
@@ -165,9 +165,6 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     if not base:
         return spark.createDataFrame([], "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
     begin = F.create_map(*(F.lit(v) for pair in base.items() for v in pair))[F.col("range")].cast("bigint")
-    sizes = file.select("range", "segment", "n_tokens")
-    running = F.sum("n_tokens").over(Window.partitionBy("range").orderBy("segment")) - F.col("n_tokens")
-    placed = file.join(sizes.select("range", "segment", (begin + running).alias("begin")), ["range", "segment"])
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,7 +177,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64(), mask=nulls), "start": pa.array(ends - lengths + start, pa.int64()),
                                                   "n_tokens": pa.array(lengths), "ids_crc32": pa.array(crc, pa.int64())})
 
-    return placed.select("doc_ids", "null_ids", "lengths", "codes", "begin").mapInArrow(documents, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    placed = file.select("doc_ids", "null_ids", "lengths", "codes", (begin + F.col("before")).alias("begin"))
+    return placed.mapInArrow(documents, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def token_at(spark: SparkSession, path: str, range_: int, segment: int, place: int) -> int:
