@@ -3,7 +3,7 @@
 Only the histogram of piece lengths (at most ``max_tokens`` numbers) comes to the driver. All
 patterns of one to three lengths that fill a sequence exactly are enumerated; least squares
 with non-negative repeat counts (multiplicative updates) fit them to the histogram; counts are
-rounded, down and to the nearest (the better plan stays), and the residual lengths are packed
+rounded in several ways (the best plan stays), and the residual lengths are packed
 best-fit, whole runs of equal sequences at a time. Tasks then number the pieces of each length and look up their places.
 """
 
@@ -23,6 +23,8 @@ from tablewright.llm.common import partitions, plain_text, slices, stored
 MAX_TOKENS = 1024
 END_ID = 2
 FIT_ROUNDS = 300
+#: Shares of the fitted counts that are rounded down; the rest is residual.
+ROUNDED_SHARES = (1.0, 0.8, 0.5)
 
 #: A pattern is (lengths, descending; how often it is repeated).
 Plan = list[tuple[tuple[int, ...], int]]
@@ -62,9 +64,9 @@ def fit_plan(histogram: dict[int, int], size: int, rounds: int = FIT_ROUNDS) ->
             made = np.bincount(table.ravel(), (x[:, None] * some).ravel(), size + 1)
             x *= goal / np.maximum((made[table] * some).sum(1), 1e-12)
         order = np.argsort(-x, kind="stable")
-        down = _rounded(table, np.floor(x + 1e-9), order, left, size)
-        nearest = _rounded(table, np.where(x < 1e-3, 0, np.maximum(1, np.round(x))), order, left, size)
-        return plan + min(down, nearest, key=lambda p: sum(times for _, times in p))
+        tried = [_rounded(table, np.floor(x * share + 1e-9), order, left, size) for share in ROUNDED_SHARES]
+        tried.append(_rounded(table, np.where(x < 1e-3, 0, np.maximum(1, np.round(x))), order, left, size))
+        return plan + min(tried, key=lambda p: sum(times for _, times in p))
     return plan + best_fit(left, size)
 
 
