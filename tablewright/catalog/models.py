@@ -33,7 +33,8 @@ def _orders(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").alias("quantity"), F.sum("l_extendedprice").alias("price"),
         F.avg("l_discount").alias("discount"))
-    return table(spark, sf_dir, "orders").join(lines, "o_orderkey").withColumn("large", (F.col("price") > 150000).cast("int"))
+    joined = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left").fillna(0, ["n_lines", "quantity", "price", "discount"])
+    return joined.withColumn("large", (F.col("price") > 150000).cast("int"))
 
 
 def _order_rows(spark, sf_dir, label):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -9,7 +10,10 @@ from pyspark.sql import functions as F
 
 
 def _text(x: float | int, sql_type: str) -> str:
-    return f"{int(x)}L" if sql_type == "bigint" else f"{float(x)!r}D"
+    if sql_type == "bigint":
+        return f"{int(x)}L" if x > -(1 << 63) else "(-9223372036854775807L - 1L)"
+    x = float(x)
+    return f"{x!r}D" if math.isfinite(x) else f"double('{x!r}')"
 
 
 def number_rows(rows: Sequence[Sequence[float]], sql_type: str = "double") -> Column:

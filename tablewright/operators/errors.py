@@ -29,13 +29,13 @@ def worst_rows(df: DataFrame, task: str, key: Sequence[str], n: int = 20, truth:
 
 
 def error_by_bucket(df: DataFrame, task: str, columns: Sequence[str] | None = None, buckets: int = 5,
-                    max_columns: int = 10, truth: str = "y_true", predicted: str = "y_pred") -> DataFrame:
+                    truth: str = "y_true", predicted: str = "y_pred") -> DataFrame:
     """(feature, bucket, low, high, mean_error, n) for exact quintiles of each feature.
 
     Equal edges are merged; a bucket is open on the left, the first one also includes
     its low edge. All features are counted in one long job.
     """
-    columns = list(columns or [c for c in numeric_columns(df) if c not in (truth, predicted)])[:max_columns]
+    columns = list(columns or [c for c in numeric_columns(df) if c not in (truth, predicted)])
     values = {c: F.col(c).cast("double") for c in columns}
     edges = {
         c: sorted({e for e in q if e is not None})

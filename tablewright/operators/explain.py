@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.hashing import seeded_hash
 
-MAX_BACKGROUND = 500
+BACKGROUND_ROWS = 500
 
 
 def linear_attributions(df: DataFrame, key: Sequence[str], coefficients: dict[str, float],
@@ -31,12 +31,12 @@ def sampled_attributions(
     background: DataFrame,
     score: Callable[[DataFrame], DataFrame],
     permutations: int = 10,
-    background_rows: int = MAX_BACKGROUND,
+    background_rows: int = BACKGROUND_ROWS,
     seed: int = 42,
 ) -> DataFrame:
     """Monte-Carlo Shapley values of any scorer: (key, feature, contribution).
 
-    The operator draws ``background_rows`` rows by hash order (at most 500, a bounded
+    The operator draws ``background_rows`` rows by hash order (the caller's bound of a
     broadcast). Every (row, permutation) meets one of them by an equi-join on its number;
     the steps of a permutation are scored as rows and their differences averaged.
     ``score`` adds a double column ``score`` to a table with the feature columns.
@@ -44,7 +44,7 @@ def sampled_attributions(
     features = list(features)
     k = len(features)
     chosen = (
-        background.withColumn("_h", seeded_hash([key], seed)).orderBy("_h", key).limit(min(background_rows, MAX_BACKGROUND))
+        background.withColumn("_h", seeded_hash([key], seed)).orderBy("_h", key).limit(background_rows)
         .select(*[F.col(f).cast("double").alias(f"b_{f}") for f in features], "_h", F.col(key).alias("_bk"))
     )
     numbered = chosen.withColumn("_b", F.row_number().over(Window.orderBy("_h", "_bk")) - 1).drop("_h", "_bk")

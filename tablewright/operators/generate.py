@@ -30,21 +30,22 @@ def polynomial_terms(columns: Sequence[str], degree: int = 2, interaction_only:
     return terms
 
 
-def ratio_terms(columns: Sequence[str], budget: int = 100) -> dict[str, Column]:
-    """``ratio__a__b`` for the first pairs; a missing or zero denominator gives 0."""
-    pairs = list(combinations(columns, 2))[: budget // 2][: budget // 4]
+def ratio_terms(columns: Sequence[str]) -> dict[str, Column]:
+    """``ratio__a__b`` of every pair; a missing or zero denominator gives 0."""
     return {
         f"ratio__{a}__{b}": F.coalesce(F.try_divide(F.col(a).cast("double"), F.nullif(F.col(b).cast("double"), F.lit(0.0))), F.lit(0.0))
-        for a, b in pairs
+        for a, b in combinations(columns, 2)
     }
 
 
 def generate_features(df: DataFrame, columns: Sequence[str] | None = None, degree: int = 2,
-                      interactions: bool = True, max_inputs: int = 10, budget: int = 100) -> DataFrame:
-    """Append generated columns, at most ``budget``, in order: polynomials, then ratios."""
+                      interactions: bool = True) -> DataFrame:
+    """Append the generated columns of all inputs: polynomials, then ratios.
+
+    Their number grows with the square of the inputs (for degree 2): name the inputs of a wide table.
+    """
     columns = list(columns or numeric_columns(df))
-    terms = polynomial_terms(columns[:max_inputs], degree, interaction_only=not interactions)
+    terms = polynomial_terms(columns, degree, interaction_only=not interactions)
     if interactions:
-        terms.update(ratio_terms(columns, budget))
-    chosen = list(terms.items())[:budget]
-    return df.select("*", *[value.alias(name) for name, value in chosen])
+        terms.update(ratio_terms(columns))
+    return df.select("*", *[value.alias(name) for name, value in terms.items()])

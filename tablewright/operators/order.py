@@ -1,7 +1,8 @@
 """Exact order statistics, cuts and running sums without a one-task sort.
 
-* ``select_ranks`` finds exact order statistics by refining histograms: every pass is
-  one scan with a map-side combined shuffle of at most a few thousand counters.
+* ``select_ranks`` finds exact order statistics by refining histograms over integers or the
+  order-preserving bit pattern of doubles: every pass settles 13 bits in one scan with a
+  map-side combined shuffle of counters.
 * ``rank_cuts`` does the same for a uniform hash, so a table can be cut at an exact
   row count by a plain column expression.
 * ``running_sums`` range-partitions pre-aggregated distinct values and adds the totals
@@ -11,6 +12,7 @@
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -22,7 +24,9 @@ from tablewright.functions.hashing import HASH_BITS
 from tablewright.functions.literals import number_rows
 from tablewright.session import hold, spread
 
-_COUNTER_BUDGET = 20_000
+#: Bits of the value settled in a pass: five passes for any data, while the counters fit the budget.
+_PASS_BITS = 13
+_COUNTER_BUDGET = 200_000
 _PREFIX_BITS = 12
 _SMALL_BUCKET = 1_000
 
@@ -37,8 +41,8 @@ def clean_number(column: Column, data_type: T.DataType) -> Column:
 
 @dataclass
 class _Interval:
-    low: float
-    high: float
+    low: int
+    high: int
     below: int
     ranks: list[int]
 
@@ -112,62 +116,75 @@ def select_ranks(
         return found
     names = list(open_parts)
     whole = [isinstance(open_parts[name][0].low, int) for name in names]
-    long = _long_form(df, values, names, whole)
+    for position, name in enumerate(names):
+        for part in open_parts[name]:
+            part.low, part.high = (_number_key(x, whole[position]) for x in (part.low, part.high))
+    number = F.when(F.col("whole").isNotNull(), F.col("whole")).otherwise(double_key(F.col("real")))
+    long = _long_form(df, values, names, whole).select("col", number.alias("key")).where("key IS NOT NULL")
     while open_parts:
-        buckets = max(64, _COUNTER_BUDGET // sum(len(parts) for parts in open_parts.values()))
-        counted = _histogram(long, names, whole, open_parts, buckets)
+        n_parts = sum(len(parts) for parts in open_parts.values())
+        bits = max(6, min(_PASS_BITS, (_COUNTER_BUDGET // n_parts).bit_length() - 1))
         histogram: dict[tuple[int, int], list] = {}
-        for row in counted:
+        for row in _histogram(long, names, open_parts, bits):
             histogram.setdefault((row["col"], row["part"]), []).append(row)
         next_parts: dict[str, list[_Interval]] = {}
         for position, name in enumerate(names):
             for i, interval in enumerate(open_parts.get(name, [])):
                 below = interval.below
                 pending = list(interval.ranks)
-                for row in sorted(histogram[(position, i)], key=lambda r: r["bucket"]):
+                for row in sorted(histogram[(position, i)], key=lambda r: r["lo"]):
                     inside = [r for r in pending if r < below + row["n"]]
                     pending = pending[len(inside):]
-                    low, high = (row["wlo"], row["whi"]) if whole[position] else (row["rlo"], row["rhi"])
-                    if inside and low == high:
-                        found[name].update({r: Ranked(low, below) for r in inside})
+                    if inside and row["lo"] == row["hi"]:
+                        value = row["lo"] if whole[position] else _key_double(row["lo"])
+                        found[name].update({r: Ranked(value, below) for r in inside})
                     elif inside:
-                        next_parts.setdefault(name, []).append(_Interval(low, high, below, inside))
+                        next_parts.setdefault(name, []).append(_Interval(row["lo"], row["hi"], below, inside))
                     below += row["n"]
         open_parts = next_parts
     return found
 
 
-def _histogram(long: DataFrame, names: list[str], whole: list[bool], parts: Mapping[str, list[_Interval]],
-               buckets: int) -> list:
-    """Counts and extent per (column, interval, equal-width bucket)."""
+def double_key(x: Column) -> Column:
+    """An order-preserving BIGINT of a double: its sign and IEEE bit pattern; both zeros are 0."""
+    size = F.abs(x)
+    guess = F.least(F.greatest(F.floor(F.log2(size)), F.lit(-1022)), F.lit(1023))
+    ratio = size / F.pow(F.lit(2.0), guess)
+    exponent = guess + F.when(ratio < 1, -1).when(ratio >= 2, 1).otherwise(0)
+    mantissa = F.when(ratio < 1, ratio * 2).when(ratio >= 2, ratio / 2).otherwise(ratio)
+    normal = F.shiftleft((exponent + 1023).cast("bigint"), 52) + ((mantissa - 1) * F.lit(float(1 << 52))).cast("bigint")
+    key = (F.when(size == 0, F.lit(0).cast("bigint")).when(size == float("inf"), F.lit(2047 << 52).cast("bigint"))
+           .when(size < 2.0 ** -1022, (size / F.lit(5e-324)).cast("bigint")).otherwise(normal))
+    return F.when(x < 0, -key).otherwise(key)
 
-    def per_column(pick, keep: Callable[[int], bool], sql_type: str) -> Column:
-        rows = [[pick(p) for p in parts.get(name, [])] if keep(i) else [] for i, name in enumerate(names)]
-        return F.get(number_rows(rows, sql_type), F.col("col"))
 
-    def real_side(i: int) -> bool:
-        return not whole[i]
+def _number_key(x: float | int, whole: bool) -> int:
+    if whole:
+        return int(x)
+    key = struct.unpack("<q", struct.pack("<d", abs(float(x))))[0]
+    return -key if x < 0 else key
 
-    def whole_side(i: int) -> bool:
-        return whole[i]
 
-    real, exact = F.col("real"), F.col("whole")
-    low_r, low_w = per_column(lambda p: p.low, real_side, "double"), per_column(lambda p: p.low, whole_side, "bigint")
-    width = per_column(lambda p: (p.high - p.low) // buckets + 1, whole_side, "bigint")
-    high_r, high_w = per_column(lambda p: p.high, real_side, "double"), per_column(lambda p: p.high, whole_side, "bigint")
+def _key_double(key: int) -> float:
+    value = struct.unpack("<d", struct.pack("<q", abs(key)))[0]
+    return -value if key < 0 else value
+
+
+def _histogram(long: DataFrame, names: list[str], parts: Mapping[str, list[_Interval]], bits: int) -> list:
+    """Counts and extent per (column, interval, bucket); a bucket is 1/2**bits of its interval or less."""
+
+    def per_column(pick) -> Column:
+        return F.get(number_rows([[pick(p) for p in parts.get(name, [])] for name in names], "bigint"), F.col("col"))
+
+    low, high = per_column(lambda p: p.low), per_column(lambda p: p.high)
+    shift = per_column(lambda p: max(0, (p.high - p.low).bit_length() - bits))
     # Intervals of a column are disjoint and ascending: the last one starting at or below.
-    part = F.when(real.isNotNull(), F.size(F.filter(low_r, lambda e: e <= real)) - 1).when(
-        exact.isNotNull(), F.size(F.filter(low_w, lambda e: e <= exact)) - 1)
-    placed = long.withColumn("part", part).where(F.col("part") >= 0)
+    placed = long.withColumn("part", F.size(F.filter(low, lambda e: e <= F.col("key"))) - 1).where("part >= 0")
     at = F.col("part")
-    inside = F.coalesce(real <= F.get(high_r, at), F.lit(False)) | F.coalesce(exact <= F.get(high_w, at), F.lit(False))
-    share = (real - F.get(low_r, at)) / (F.get(high_r, at) - F.get(low_r, at))
-    bucket = F.when(real.isNotNull(), F.least(F.lit(buckets - 1), F.floor(share * buckets).cast("int"))).otherwise(
-        F.floor((exact - F.get(low_w, at)) / F.get(width, at)).cast("int"))
+    step = F.get(shift, at).cast("int")
     return (
-        placed.where(inside).withColumn("bucket", bucket).groupBy("col", "part", "bucket")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("real").alias("rlo"), F.max("real").alias("rhi"),
-             F.min("whole").alias("wlo"), F.max("whole").alias("whi"))
+        placed.where(F.col("key") <= F.get(high, at)).withColumn("bucket", F.call_function("shiftright", F.col("key"), step))
+        .groupBy("col", "part", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
         .collect()
     )
 

@@ -202,16 +202,15 @@ def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
     )
 
 
-def correlation_pairs(df: DataFrame, columns: list[str] | None = None, max_columns: int = 20,
-                      digits: int = 8) -> DataFrame:
-    """Pearson correlation of each pair of the first numeric columns: (column_a, column_b, r).
+def correlation_pairs(df: DataFrame, columns: list[str] | None = None, digits: int = 8) -> DataFrame:
+    """Pearson correlation of each pair of numeric columns: (column_a, column_b, r).
 
     Pairs are complete case by case: a row missing one value still serves other pairs.
     A pair with a constant side has no correlation (NULL). Values are centred on the
     column mean; every task reduces its Arrow batches to one set of pair sums by matrix
     products, and only those sums are shuffled.
     """
-    columns = (columns or numeric_columns(df))[:max_columns]
+    columns = columns or numeric_columns(df)
     k = len(columns)
     if k < 2:
         return small_frame(df.sparkSession, [], "column_a string, column_b string, r double")
@@ -257,5 +256,5 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None, max_colum
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> dict[tuple[str, str], float | None]:
     """The same numbers on the driver, for rules over at most a few hundred columns."""
     columns = columns or numeric_columns(df)
-    rows = correlation_pairs(df, columns, max_columns=len(columns), digits=15).collect()
+    rows = correlation_pairs(df, columns, digits=15).collect()
     return {(r["column_a"], r["column_b"]): r["r"] for r in rows}

@@ -27,7 +27,8 @@ def logistic_scores(df: DataFrame, coefficients: dict[str, float], intercept: fl
 def score_batch(df: DataFrame, model, features=None, n_classes: int = 0, path: str | None = None, fmt: str = "csv") -> DataFrame:
     """features.transform -> model.transform -> prediction (and probabilities); optionally written.
 
-    One narrow job, whatever the size of the input.
+    One narrow job, whatever the size of the input. With a path, the written rows are returned,
+    so that scoring does not run again.
     """
     prepared = features.transform(df) if features is not None else df
     scored = model.transform(prepared)
@@ -38,8 +39,10 @@ def score_batch(df: DataFrame, model, features=None, n_classes: int = 0, path: s
         columns += [F.get(p, F.lit(i)).alias(f"proba_class_{i}") for i in range(n_classes)]
     result = scored.select(*columns)
     if path is not None:
-        writer = result.write.mode("overwrite")
-        (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
+        spark, as_csv = df.sparkSession, fmt == "csv"
+        writer, reader = result.write.mode("overwrite").format(fmt), spark.read.format(fmt).schema(result.schema)
+        (writer.option("header", True) if as_csv else writer).save(path)
+        return (reader.option("header", True) if as_csv else reader).load(path)
     return result
 
 

@@ -61,20 +61,32 @@ def random_split(df: DataFrame, key: str, test: float = 0.2, val: float = 0.1, s
 def _by_label(df: DataFrame, label: str, h: Column, key: str, cuts: dict[object, list[Cut]],
               names: list) -> Column:
     """Name of the section a row falls into, given the cuts of its class."""
+    # The cuts of all classes are one map literal; its size is that of the class list.
+    rows = [(value, class_cuts) for value, class_cuts in cuts.items() if value is not None]
     result = F.lit(names[-1])
-    for value, class_cuts in cuts.items():
+    if rows:
+        each = F.get(F.array(*[F.array(*[_cut_literal(c) for c in class_cuts]) for _, class_cuts in rows]),
+                     F.array_position(F.array(*[F.lit(v) for v, _ in rows]), F.col(label)).cast("int") - 1)
+        for i in reversed(range(len(names) - 1)):
+            cut = F.get(each, F.lit(i))
+            before = (h < cut["h"]) | ((h == cut["h"]) & (F.col(key) <= cut["key"]))
+            result = F.when(F.coalesce(before, F.lit(False)), F.lit(names[i])).otherwise(result)
+    if None in cuts:
         section = F.lit(names[-1])
-        for cut, name in reversed(list(zip(class_cuts, names, strict=False))):
+        for cut, name in reversed(list(zip(cuts[None], names, strict=False))):
             section = F.when(before_cut(h, F.col(key), cut), F.lit(name)).otherwise(section)
-        result = F.when(F.col(label).eqNullSafe(F.lit(value)), section).otherwise(result)
+        result = F.when(F.col(label).isNull(), section).otherwise(result)
     return result
 
 
+def _cut_literal(cut: Cut) -> Column:
+    return F.struct(F.lit(cut.hash_value).cast("bigint").alias("h"), F.lit(cut.key).alias("key"))
+
+
 def stratified_split(df: DataFrame, key: str, label: str, test: float = 0.2, val: float = 0.1,
-                     seed: int = 42, max_classes: int = 200) -> DataFrame:
-    """The same proportions inside every class of the label."""
+                     seed: int = 42) -> DataFrame:
+    """The same proportions inside every class of the label, however many there are."""
     h = seeded_hash([key], seed)
-    _check_classes(df, label, max_classes)
 
     def sizes(_, n):
         n_test, n_val = class_sizes(n, test, val)
@@ -84,11 +96,6 @@ def stratified_split(df: DataFrame, key: str, label: str, test: float = 0.2, val
     return df.withColumn("split", _by_label(df, label, h, key, cuts, ["test", "val", "train"]))
 
 
-def _check_classes(df: DataFrame, label: str, max_classes: int) -> None:
-    if len(df.select(label).distinct().limit(max_classes + 1).collect()) > max_classes:
-        raise ValueError(f"label {label!r} has more than {max_classes} values: not a class label")
-
-
 def _order_number(df: DataFrame, column: str) -> Column:
     data_type = df.schema[column].dataType
     if isinstance(data_type, T.DateType):
@@ -180,10 +187,8 @@ def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     return df.withColumn("fold", fold)
 
 
-def stratified_kfold(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42,
-                     max_classes: int = 200) -> DataFrame:
+def stratified_kfold(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Fold ids of nearly equal size inside every class."""
     h = seeded_hash([key], seed)
-    _check_classes(df, label, max_classes)
     cuts = rank_cuts(df, h, key, lambda _, n: _fold_ends(n, k), label)
     return df.withColumn("fold", _by_label(df, label, h, key, cuts, list(range(k))))

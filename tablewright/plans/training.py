@@ -54,8 +54,9 @@ def train(df: DataFrame, target: str, key: str, task: str, features: FeatureOpti
     base = df.drop(*exclude).where(F.col(target).isNotNull())
     labels: tuple[str, ...] = ()
     if task == "classification":
-        labels = tuple(sorted(str(r[0]) for r in base.select(target).distinct().limit(1001).collect()))
-        code = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col(target).cast("string")) - 1
+        label = F.col(target).cast("string")
+        labels = tuple(sorted(r[0] for r in base.select(label.alias("label")).distinct().collect()))
+        code = F.array_position(F.array(*[F.lit(v) for v in labels]), label) - 1
         base = base.withColumn(target, code.cast("int"))
         parts = stratified_split(base, key, target)
     else:

@@ -9,6 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+SPREAD_BYTES = 256 << 20
 
 
 def build_session(app: str = "tablewright", master: str | None = None, **conf: str) -> SparkSession:
@@ -42,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tablewright-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -64,9 +67,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when a table comes from fewer files than there are cores.
+    """Give every core work when a small table lies in fewer partitions than there are cores.
 
-    Tables of many files are left as they are: no shuffle is added at scale.
+    Only tables that the optimiser puts below ``SPREAD_BYTES`` are dealt anew, so the exchange
+    stays small; at scale ``spark.sql.files.maxPartitionBytes`` sets the number of tasks.
     """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if size < SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df

@@ -93,3 +93,29 @@ def test_time_split_puts_missing_times_last(spark):
 def test_unknown_strategy(spark):
     with pytest.raises(ValueError):
         split.split_table(spark.range(3), "other", "id")
+
+
+def test_ranks_of_any_double_and_bigint_in_few_passes(spark, monkeypatch):
+    from tablewright.operators import order
+
+    wide = [s * 10.0 ** e for e in range(-300, 300) for s in (1, -1)] + [float("inf"), float("-inf"), 0.0, -0.0, 5e-324, 2.0 ** -1022, 1.7976931348623157e308]
+    wide += [2.0 ** e for e in range(-60, 60)]
+    whole = [-(1 << 63), (1 << 63) - 1, 0, 1, -1] * 100
+    n = min(len(wide), len(whole))
+    rows = [(float(wide[i]) if i < len(wide) else None, whole[i % len(whole)]) for i in range(len(wide))]
+    df = spark.createDataFrame(rows, "x double, k bigint")
+    passes = []
+    plain = order._histogram
+    monkeypatch.setattr(order, "_histogram", lambda *a: passes.append(1) or plain(*a))
+    ranks = list(range(0, len(wide), 97)) + [len(wide) - 1]
+    found = select_ranks(df, {"x": F.col("x"), "k": F.col("k")}, {"x": ranks, "k": [0, n // 2, len(wide) - 1]})
+    ordered, keys = sorted(wide), sorted(r[1] for r in rows)
+    assert {r: v.value for r, v in found["x"].items()} == {r: ordered[r] for r in ranks}
+    assert {r: v.value for r, v in found["k"].items()} == {r: keys[r] for r in (0, n // 2, len(wide) - 1)}
+    assert len(passes) <= 5
+
+
+def test_stratified_split_with_many_classes(spark):
+    df = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") % 500).cast("string").alias("y"))
+    rows = split.stratified_split(df, "k", "y").groupBy("y", "split").count().collect()
+    assert len({r["y"] for r in rows}) == 500 and {(r["split"], r["count"]) for r in rows} == {("test", 2), ("val", 1), ("train", 7)}
