@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from tablewright.functions.hashing import HASH_BITS
 from tablewright.functions.literals import number_rows
-from tablewright.session import hold, spread
+from tablewright.session import cut_lineage, hold, spread
 
 #: Bits of the value settled in a pass: five passes for any data, while the counters fit the budget.
 _PASS_BITS = 13
@@ -321,9 +321,8 @@ def running_sums(
     its own; the totals of the partitions before are added.
     """
     by = list(by)
-    ranged = hold(
-        counts.repartitionByRange(*by, order).withColumn("_range", F.spark_partition_id())
-    )
+    # Range cuts are sampled anew whenever a partition is computed again: fix them in the shared folder.
+    ranged = cut_lineage(counts.repartitionByRange(*by, order).withColumn("_range", F.spark_partition_id()))
     totals = ranged.groupBy("_range", *by).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(

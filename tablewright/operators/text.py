@@ -6,7 +6,9 @@ only built on request and always from a vocabulary of bounded size.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from zlib import crc32
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from tablewright.session import spread
 
 # Fixed value: words are runs of two or more letters, digits or underscores.
 WORD = r"[\p{L}\p{N}_]{2,}"
+#: Parts of the literal idf table; a term is looked up in one of them.
+_SLOTS = 64
 
 
 def tokens(text: Column) -> Column:
@@ -51,21 +55,38 @@ def _grams(df: DataFrame, column: str, spans: tuple[int, int]) -> DataFrame:
     return worded.withColumn("_grams", ngrams(F.col("_words"), *spans)).drop("_words")
 
 
+def _tally(df: DataFrame, key: list[str], values: Column) -> DataFrame:
+    """``key`` and ``_tally``: each distinct value of a row's array with its count, in order.
+
+    Works inside the row: sorted values, then the ends of their runs. Every step is a
+    projection of its own, so that no array is computed again for each of its elements.
+    """
+    ordered = df.select(*key, F.array_sort(values).alias("_sorted"))
+    last = F.size("_sorted") - 1
+    places = F.transform("_sorted", lambda v, i: F.struct(v.alias("value"), i.alias("at")))
+    ends = ordered.select(*key, F.filter(
+        places, lambda e: (e["at"] == last) | (F.get("_sorted", e["at"] + 1) != e["value"])).alias("_ends"))
+    return ends.select(*key, F.transform("_ends", lambda e, i: F.struct(
+        e["value"].alias("value"),
+        (e["at"] - F.coalesce(F.get("_ends", i - 1)["at"], F.lit(-1))).cast("bigint").alias("n"))).alias("_tally"))
+
+
+def _in_rows(df: DataFrame, columns: list[str], array: str) -> DataFrame:
+    # The outer form: the plain one makes the optimiser evaluate the array once more as a filter.
+    return df.select(*columns, F.inline_outer(array)).where("value IS NOT NULL")
+
+
 def vocabulary(df: DataFrame, column: str, spans: tuple[int, int] = (1, 2), min_df: int = 2,
                max_features: int | None = 500) -> DataFrame:
     """(term, n, df, position): frequent terms, positions in alphabetical order.
 
-    Occurrences and documents of a term are summed in one shuffle with map-side combine.
+    A document sends each of its terms once, with the count; one shuffle with map-side
+    combine adds counts and documents.
     """
-    grams = _grams(df.select(column), column, spans)
-    seen = F.concat(
-        F.transform("_grams", lambda g: F.struct(g.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("df"))),
-        F.transform(F.array_distinct("_grams"),
-                    lambda g: F.struct(g.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("df"))),
-    )
+    per_document = _tally(_grams(df.select(column), column, spans), [], F.col("_grams"))
     terms = (
-        grams.select(F.inline(seen)).groupBy("term")
-        .agg(F.sum("n").alias("n"), F.sum("df").alias("df")).where(F.col("df") >= min_df)
+        _in_rows(per_document, [], "_tally").groupBy(F.col("value").alias("term"))
+        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
     )
     if max_features is None:
         return terms.select("term", "n", "df", F.lit(None).cast("int").alias("position"))
@@ -83,32 +104,34 @@ class FittedText:
     terms: tuple[tuple[str, int], ...]
     n_documents: int
 
-    def _vocabulary(self, df: DataFrame) -> DataFrame:
-        rows = [(t, i, d) for i, (t, d) in enumerate(self.terms)]
-        return df.sparkSession.createDataFrame(rows, "term string, position int, df bigint")
-
-    def _positions(self, df: DataFrame, key: str) -> DataFrame:
-        """One row per occurrence of a vocabulary term: key, position, df."""
+    def _tally(self, df: DataFrame, key: str) -> DataFrame:
+        """(key, _tally): vocabulary terms of each row with their counts."""
+        known = [t for t, _ in self.terms]
         grams = _grams(df.select(key, self.column), self.column, self.spans)
-        return grams.select(key, F.explode("_grams").alias("term")).join(
-            F.broadcast(self._vocabulary(df)), "term").select(key, "position", "df", "term")
+        kept = F.filter("_grams", lambda g: g.isin(known)) if known else F.array().cast("array<string>")
+        return _tally(grams, [key], kept)
 
-    def counts(self, df: DataFrame, key: str) -> DataFrame:
-        """(key, term, value): occurrences of each vocabulary term."""
-        return self._positions(df, key).groupBy(key, "term").agg(F.count(F.lit(1)).alias("value"))
+    def _idf(self, term: Column) -> Column:
+        """Smoothed idf of a vocabulary term, from a literal table in ``_SLOTS`` parts."""
+        parts: list[list[Column]] = [[F.lit(""), F.lit(0.0)] for _ in range(_SLOTS)]
+        for t, df in self.terms:
+            parts[crc32(t.encode()) % _SLOTS] += [F.lit(t), F.lit(math.log((1.0 + self.n_documents) / (1.0 + df)) + 1.0)]
+        tables = F.array(*[F.create_map(*p) for p in parts])
+        return F.get(tables, (F.crc32(term) % _SLOTS).cast("int"))[term]
 
-    def tfidf(self, df: DataFrame, key: str) -> DataFrame:
-        """(key, term, value): smoothed idf, rows scaled to length one.
+    def counts(self, df: DataFrame, key: str) -> DataFrame:
+        """(key, term, value): occurrences of each vocabulary term.
 
-        Occurrences are placed by key once; both the counting and the row length then
-        work inside that partitioning.
+        One row is one document, counted where it is read: no shuffle.
         """
-        idf = F.log(F.lit(1.0 + self.n_documents) / (1.0 + F.col("df"))) + 1.0
-        placed = self._positions(df, key).repartition(key)
-        weighted = placed.groupBy(key, "term", "df").agg(F.count(F.lit(1)).alias("_n")).withColumn(
-            "_w", F.col("_n") * idf)
-        length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
-        return weighted.select(key, "term", (F.col("_w") / length).alias("value"))
+        return _in_rows(self._tally(df, key), [key], "_tally").select(
+            key, F.col("value").alias("term"), F.col("n").alias("value"))
+
+    def tfidf(self, df: DataFrame, key: str) -> DataFrame:
+        """(key, term, value): smoothed idf, rows scaled to length one, without a shuffle."""
+        weighted = self._tally(df, key).select(key, F.transform("_tally", lambda c: F.struct(
+            c["value"].alias("value"), (c["n"] * self._idf(c["value"])).alias("weight"))).alias("_weights"))
+        return _scaled(weighted, key).select(key, F.col("value").alias("term"), F.col("scaled").alias("value"))
 
     def wide(self, long: DataFrame, key: str) -> DataFrame:
         """One column ``{column}__{term}`` per vocabulary term, 0 where absent."""
@@ -118,6 +141,13 @@ class FittedText:
             for t in names])
 
 
+def _scaled(weighted: DataFrame, key: str) -> DataFrame:
+    """One row per weight, ``scaled`` to length one over the row's ``_weights``."""
+    length = F.sqrt(F.aggregate("_weights", F.lit(0.0), lambda total, c: total + c["weight"] * c["weight"]))
+    return _in_rows(weighted.withColumn("_length", length), [key, "_length"], "_weights").withColumn(
+        "scaled", F.col("weight") / F.col("_length"))
+
+
 def fit_text(df: DataFrame, column: str, spans: tuple[int, int] = (1, 2), min_df: int = 2,
              max_features: int = 500) -> FittedText:
     terms = vocabulary(df, column, spans, min_df, max_features).orderBy("position").collect()
@@ -128,11 +158,10 @@ def hashing_counts(df: DataFrame, key: str, column: str, slots: int = 500,
                    spans: tuple[int, int] = (1, 2)) -> DataFrame:
     """(key, slot, n, value): stateless term slots; value is n scaled to row length one."""
     grams = _grams(df.select(key, column), column, spans)
-    placed = grams.select(key, F.explode("_grams").alias("term")).select(
-        key, hash_slot(F.col("term"), slots).alias("slot")).repartition(key)
-    counted = placed.groupBy(key, "slot").agg(F.count(F.lit(1)).alias("n"))
-    length = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)).cast("double"))
-    return counted.withColumn("value", F.col("n") / length)
+    tally = _tally(grams, [key], F.transform("_grams", lambda g: hash_slot(g, slots)))
+    weighted = tally.select(key, F.transform("_tally", lambda c: F.struct(
+        c["value"].alias("value"), c["n"].alias("n"), c["n"].cast("double").alias("weight"))).alias("_weights"))
+    return _scaled(weighted, key).select(key, F.col("value").alias("slot"), "n", F.col("scaled").alias("value"))
 
 
 def detect_text_columns(df: DataFrame, threshold: float = 20.0, exclude: tuple[str, ...] = ()) -> DataFrame:
