@@ -90,7 +90,7 @@ def fit_early_stopping(spark, sf_dir):
     model = models.boosted("regression", "xgboost", validation="is_val", maxIter=30, stepSize=0.5, maxDepth=4).fit(held)
     scored = models.scored_rows(model, held.where("is_val"), "regression")
     return models.metric_table(scored, "regression").select(
-        (F.lit(model.getNumTrees) <= 30).alias("stopped"), F.round("r2", 3).alias("r2"))
+        (F.lit(model.getNumTrees) < 30).alias("stopped"), F.round("r2", 3).alias("r2"))
 
 
 @query("fit_mlp")

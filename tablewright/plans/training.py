@@ -63,8 +63,8 @@ def train(df: DataFrame, target: str, key: str, task: str, features: FeatureOpti
         parts = random_split(base, key)
     n_classes = max(2, len(labels))
     parts = hold(parts)
-    fitted = fit_features(parts.where("split = 'train'").drop("split"), target, task == "classification", features, key)
-    rows = hold(assemble(fitted.transform(parts).join(parts.select(key, "split"), key), fitted.outputs, target, [key, "split"]))
+    fitted = fit_features(parts.where("split = 'train'"), target, task == "classification", features, key, ["split"])
+    rows = hold(assemble(fitted.transform(parts), fitted.outputs, target, [key, "split"]))
     train_rows = rows.where("split = 'train'").drop("split")
     folded = hold(with_folds(train_rows, key, task, options.folds))
     n_rows = folded.count()
