@@ -208,5 +208,6 @@ def stream_drift(spark, sf_dir):
     path, schema = _event_files(spark, sf_dir)
     out = scratch_path(spark, "drift")
     monitor.drift_per_batch(monitor.file_stream(spark, path, schema, files_per_batch=3), spark.read.parquet(path),
-                            ["y_true", "y_pred"], [], scratch_path(spark, "stream"), out)
-    return spark.read.parquet(out).select("batch", "column", F.round("statistic", 4).alias("statistic"))
+                            ["y_true", "y_pred"], ["y_pred"], scratch_path(spark, "stream"), out)
+    return spark.read.parquet(out).select("batch", "column", "test", F.round("statistic", 4).alias("statistic"),
+                                          F.round("p_value", 4).alias("p_value"))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tablewright.functions.tails import chi_square_tail
 from tablewright.operators.drift import chi_square_statistics, ks_statistics
+from tablewright.operators.schema import small_frame
 
 _TOP = 1000
 
@@ -91,8 +93,10 @@ def drift_per_batch(stream: DataFrame, reference: DataFrame, numeric: list[str],
         if numeric:
             parts.append(ks_statistics(reference, batch, numeric).select("column", F.lit("ks").alias("test"), "statistic", "p_value"))
         if categorical:
-            parts.append(chi_square_statistics(reference, batch, categorical).select(
-                "column", F.lit("chi2").alias("test"), "statistic", F.lit(None).cast("double").alias("p_value")))
+            rows = chi_square_statistics(reference, batch, categorical).collect()       # one for each column
+            parts.append(small_frame(
+                batch.sparkSession, [(r["column"], "chi2", r["statistic"], chi_square_tail(r["statistic"], r["dof"])) for r in rows],
+                "column string, test string, statistic double, p_value double"))
         found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         found.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
