@@ -27,6 +27,10 @@ from tablewright.llm.common import plain_text, slices
 #: Entries of one generation of remembered words; at most two generations are held.
 CACHE_ENTRIES = 400_000
 _NONE = np.int64(1) << 62
+#: Bytes of words (with padding) that one array of trees holds; it stays in the processor's cache.
+_SIDE_BY_SIDE = 1 << 16
+#: Odd multiplier that spreads pairs over the hash table.
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space to Python but not to Unicode's property: texts with them take the slow way.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -52,24 +56,52 @@ class PairTree:
         letters = byte_letters()
         self.first = np.array([vocab[c] for c in letters], np.int64)
         self.last = np.array([vocab[c + suffix] for c in letters], np.int64)
-        keys = np.array([(vocab[a] << 32) | vocab[b] for a, b in pairs], np.int64)
-        made = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self._hash(np.array([(vocab[a] << 32) | vocab[b] for a, b in pairs], np.int64))
+        one, two = np.divmod(np.arange(1 << 16), 256)
+        self.inner_rank = self.ranks(self.first[one], self.first[two])
+        self.last_rank = self.ranks(self.first[one], self.last[two])
+
+    def _hash(self, keys: np.ndarray) -> None:
+        """An open table from pair to rank, at most a quarter full."""
+        bits = max(2, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slot_key = np.full(1 << bits, -1, np.int64)
+        self.slot_rank = np.full(1 << bits, -1, np.int64)
+        rank, at = np.arange(len(keys)), self._home(keys)
+        while len(rank):
+            free = np.flatnonzero(self.slot_key[at] < 0)
+            own = free[np.unique(at[free], return_index=True)[1]]
+            self.slot_key[at[own]], self.slot_rank[at[own]] = keys[rank[own]], rank[own]
+            rank, at = np.delete(rank, own), (np.delete(at, own) + 1) & self.mask
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _SPREAD) >> self.shift).astype(np.int64)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where it cannot merge."""
         key = (left << 32) | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.rank[at], -1)
+        at = self._home(key)
+        found = self.slot_key[at]
+        same = found == key
+        rank = np.where(same, self.slot_rank[at], -1)
+        others = np.flatnonzero(~same & (found >= 0))
+        while len(others):
+            at = (at if len(at) == len(others) else at[others]) + 1 & self.mask
+            found, wanted = self.slot_key[at], key[others]
+            same = found == wanted
+            rank[others[same]] = self.slot_rank[at[same]]
+            on = ~same & (found >= 0)
+            others, at = others[on], at[on]
+        return rank
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         """Packed token ids of each non-empty word."""
         out: list[bytes] = [b""] * len(words)
         sizes = np.array([max(2, 1 << (len(w) - 1).bit_length()) for w in words], np.int64)
         for size in np.unique(sizes):
-            where = np.flatnonzero(sizes == size)
-            step = max(1, 500_000 // int(size))
+            where = np.flatnonzero(sizes == size).tolist()
+            step = max(1, _SIDE_BY_SIDE // int(size))
             for i in range(0, len(where), step):
                 part = where[i:i + step]
                 for k, ids in zip(part, self._same_size([words[k] for k in part], int(size))):
@@ -77,57 +109,59 @@ class PairTree:
         return out
 
     def _same_size(self, words: list[bytes], size: int) -> list[bytes]:
-        n = len(words)
+        n, log = len(words), size.bit_length() - 1
         length = np.array([len(w) for w in words], np.int64)
-        data = np.frombuffer(b"".join(w.ljust(size, b"\0") for w in words), np.uint8).reshape(n, size)
-        symbol = self.first[data]
-        rows = np.arange(n)
-        symbol[rows, length - 1] = self.last[data[rows, length - 1]]
-        place = np.arange(size)
-        inside = place[None, :] < length[:, None]
-        after = np.where(place + 1 < length[:, None], place + 1, size)
-        before = np.broadcast_to(place - 1, (n, size)).copy()
-        tree = np.full((n, 2 * size), _NONE)
-        rank = self.ranks(symbol[:, :-1], symbol[:, 1:])
-        tree[:, size:2 * size - 1] = np.where((rank >= 0) & inside[:, 1:], rank * size + place[:-1], _NONE)
+        data = np.frombuffer(b"".join([w.ljust(size, b"\0") for w in words]), np.uint8).reshape(n, size)
+        rows, place = np.arange(n), np.arange(size)
+        inside = place < length[:, None]
+        symbols = self.first[data]
+        symbols[rows, length - 1] = self.last[data[rows, length - 1]]
+        pair = (data[:, :-1].astype(np.int32) << 8) | data[:, 1:]
+        rank = self.inner_rank[pair]
+        long = np.flatnonzero(length > 1)
+        rank[long, length[long] - 2] = self.last_rank[pair[long, length[long] - 2]]
+        trees = np.full((n, 2 * size), _NONE)
+        trees[:, size:2 * size - 1] = np.where((rank >= 0) & inside[:, 1:], (rank << log) + place[:-1], _NONE)
         width = size
         while width > 1:
             half = width // 2
-            tree[:, half:width] = np.minimum(tree[:, width:2 * width:2], tree[:, width + 1:2 * width:2])
+            trees[:, half:width] = np.minimum(trees[:, width:2 * width:2], trees[:, width + 1:2 * width:2])
             width = half
 
-        def put(r: np.ndarray, leaf: np.ndarray, value) -> None:
-            node = leaf + size
-            tree[r, node] = value
-            while len(node) and node[0] > 1:
-                parent = node >> 1
-                tree[r, parent] = np.minimum(tree[r, node], tree[r, node ^ 1])
-                node = parent
-
-        alive = inside.copy()
-        active = np.flatnonzero(tree[:, 1] < _NONE)
-        while len(active):
-            root = tree[active, 1]
-            at, new = root % size, self.made[root // size]
-            gone = after[active, at]
-            then = after[active, gone]
-            symbol[active, at] = new
-            alive[active, gone] = False
-            after[active, at] = then
-            put(active, gone, _NONE)
-            has = then < size
-            r, p, q = active[has], at[has], then[has]
-            before[r, q] = p
-            rank = self.ranks(new[has], symbol[r, q])
-            put(r, p, np.where(rank >= 0, rank * size + p, _NONE))
-            put(active[~has], at[~has], _NONE)
-            left = before[active, at]
-            has = left >= 0
-            r, p = active[has], left[has]
-            rank = self.ranks(symbol[r, p], new[has])
-            put(r, p, np.where(rank >= 0, rank * size + p, _NONE))
-            active = active[tree[active, 1] < _NONE]
-        ids, ends = symbol[alive].astype("<u4").tobytes(), np.cumsum(4 * alive.sum(1)).tolist()
+        # Flat views from here on: a word's leaves start at row * size, its tree at twice that.
+        tree, symbol, alive = trees.ravel(), symbols.ravel(), inside.ravel()
+        after = np.where(inside[:, 1:], place[1:], size)
+        after = np.concatenate([after, np.full((n, 1), size)], 1).ravel()
+        before = np.tile(place - 1, n)
+        start = rows[trees[:, 1] < _NONE] * size
+        while len(start):
+            root = tree[2 * start + 1]
+            at, new = root & (size - 1), self.made[root >> log]
+            here = start + at
+            gone = after[here]
+            then = after[start + gone]
+            left = before[here]
+            symbol[here], after[here], alive[start + gone] = new, then, False
+            right_of, left_of = np.flatnonzero(then < size), np.flatnonzero(left >= 0)
+            following = start[right_of] + then[right_of]
+            before[following] = at[right_of]
+            rank = self.ranks(np.concatenate([new[right_of], symbol[start[left_of] + left[left_of]]]),
+                              np.concatenate([symbol[following], new[left_of]]))
+            leaf = np.concatenate([at[right_of], left[left_of]])
+            value = np.where(rank >= 0, (rank << log) + leaf, _NONE)
+            # The three leaves that change; their walks to the root go up level by level together.
+            top = 2 * start
+            tree[top + size + gone] = _NONE
+            tree[top + size + at] = _NONE
+            tree[2 * start[np.concatenate([right_of, left_of])] + size + leaf] = value
+            base = np.concatenate([top, top, top[left_of]])
+            node = np.concatenate([at, gone, left[left_of]]) + size
+            for _ in range(log):
+                here = base + node
+                node >>= 1
+                tree[base + node] = np.minimum(tree[here], tree[here ^ 1])
+            start = start[tree[top + 1] < _NONE]
+        ids, ends = symbol[alive].astype("<u4").tobytes(), np.cumsum(4 * inside.sum(1)).tolist()
         return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
 
@@ -164,8 +198,8 @@ class Encoder:
             return self.split.findall(text) if _ODD.search(text) else text.split()
         if _DOUBLE.search(text) or _ODD.search(text):
             return self.split.findall(text)
-        first, *rest = text.split(" ")
-        return [*([first] if first else []), *map(" ".__add__, rest)]
+        pieces = text.replace(" ", "\x1f ").split("\x1f")       # the text holds no \x1f of its own
+        return pieces if pieces[0] else pieces[1:]
 
     def _parts(self, text: str) -> list[str]:
         if "<|" not in text:
@@ -176,22 +210,30 @@ class Encoder:
         return out
 
     def _words(self, piece: str) -> list[str]:
-        if piece.isalpha() or (not self.words and piece[0] == " " and piece[1:].isalpha()):
-            return [piece]
+        """A piece that is not a plain word, cut into words."""
+        body, end = piece[:-1], piece[-1]
+        if end in ".,;:!?" and body.removeprefix(" ").isalpha():
+            return [body, end]
         return self.split.findall(piece)
 
     def _learn(self, missing: set[str]) -> None:
         """Ids of new pieces into ``pieces``, which makes room by dropping its older generation."""
         if len(self.pieces) + len(missing) > CACHE_ENTRIES:
             self.older, self.pieces = self.pieces, dict(self.special_ids)
-        older = self.older
-        new = [p for p in missing if p not in older]
-        self.pieces.update((p, older[p]) for p in missing if p in older)
-        words = [self._words(p) for p in new]
+        missing = missing - self._recall(missing)
+        plain = {p for p in missing if p.removeprefix(" ").isalpha()}
+        words = {p: self._words(p) for p in missing - plain}
         known = self.pieces
-        fresh = list({w for ws in words for w in ws if w not in known})
+        inner = {w for ws in words.values() for w in ws if w not in known}
+        fresh = list(plain | inner - self._recall(inner))
         known.update(zip(fresh, self.tree.encode([w.encode() for w in fresh])))
-        known.update((p, b"".join([known[w] for w in ws])) for p, ws in zip(new, words) if len(ws) > 1)
+        known.update((p, b"".join([known[w] for w in ws])) for p, ws in words.items() if len(ws) > 1)
+
+    def _recall(self, pieces: set[str]) -> set[str]:
+        """Those of the older generation, which are new again."""
+        found = pieces & self.older.keys()
+        self.pieces.update(zip(found, map(self.older.__getitem__, found)))
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
