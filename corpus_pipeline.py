@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import packing, simhash, substrings, toxicity
+from tablewright.llm import near_copies, packing, substrings, toxicity
 from tablewright.llm.common import stored
 
 
@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each SimHash component."""
-    copies = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    """The document of smallest doc_id of those linked by five-word shingle similarity of 0.8 or more."""
+    copies = near_copies.near_copies(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti")
 
 

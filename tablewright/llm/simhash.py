@@ -29,22 +29,31 @@ BLOCKS = 6
 BUCKET_ROWS = 4096
 
 
-def fingerprint(text: str, shingle: int = SHINGLE_WORDS) -> int:
-    """64-bit SimHash of word shingles, repeats included; 0 without words."""
+def shingle_hashes(text: str, shingle: int = SHINGLE_WORDS) -> np.ndarray:
+    """64-bit hashes of the word shingles in order, repeats included; none without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined, size = b" ".join(words), min(shingle, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], HASH_SEED) for a, b in zip(starts[:len(words) - size + 1].tolist(), ends[size - 1:].tolist())], "<u8")
+    return np.array([digest(joined[a:b], HASH_SEED) for a, b in zip(starts[:len(words) - size + 1].tolist(), ends[size - 1:].tolist())], "<u8")
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """64-bit SimHash of shingle hashes; 0 of none."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 65_536):
         ones += np.unpackbits(hashes[i:i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, shingle: int = SHINGLE_WORDS) -> int:
+    """64-bit SimHash of word shingles, repeats included; 0 without words."""
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
 def _masks() -> np.ndarray:
     cuts = [round(64 * i / BLOCKS) for i in range(BLOCKS + 1)]
     return np.array([((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:])], np.uint64)
