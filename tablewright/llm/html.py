@@ -2,17 +2,20 @@
 
 Pages of a host are ordered by URL path; a page's partner is its neighbour with the longer
 common path prefix. Text lines of both are aligned by longest common subsequence and shared
-lines are deleted as template. What the markup itself declares goes first: lines inside an
-``article`` or ``main`` element are content and stay even if a neighbour carries the same
-article; lines in menus, forms, scripts and their like never count. So differencing decides
-the pages that declare nothing.
+lines are deleted as template; a copy says nothing, then the other neighbour is the partner.
+Every page is differenced. If most of what is left lies inside ``article`` or ``main``
+elements, the markup is confirmed and protects all their lines, repeated ones included; if
+not, what differencing left is the article. Lines in menus, forms, scripts and their like
+never count.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,9 +23,10 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.common import Ranges, partitions, plain_text, rows_in_arrow
 
-#: A page that shares more of its undeclared text than this with its partner is a copy of it:
-#: the difference then says nothing and the lines stay.
+#: A page that shares more of its text than this with its partner needs the other neighbour too.
 COPY_SHARE = 0.8
+#: What two pages have for themselves is compared by word pairs from so many words on.
+PAIR_WORDS = 20
 
 # Fixed values of the HTML standard: element kinds.
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -161,16 +165,47 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def main_text(lines: list[tuple[str, int]], partner: list[tuple[str, int]] | None) -> str:
-    """The article of a page beside its partner's lines."""
+def _differ(page: list[tuple[str, int]], other: list[tuple[str, int]], shared: set[int]) -> bool:
+    """Whether two pages tell different things: what either has for itself is no edit of the other's."""
+    there = shared_lines([t for t, _ in other], [t for t, _ in page])
+    own = [w for i, (t, kind) in enumerate(page) if kind != TEMPLATE and i not in shared for w in t.split()]
+    others = [w for i, (t, kind) in enumerate(other) if kind != TEMPLATE and i not in there for w in t.split()]
+    if min(len(own), len(others)) >= PAIR_WORDS:                 # long texts of a language share many single words
+        own, others = list(pairwise(own)), list(pairwise(others))
+    return bool(own and others) and 2 * (Counter(own) & Counter(others)).total() < min(len(own), len(others))
+
+
+def template_lines(lines: list[tuple[str, int]], neighbours: Sequence[list[tuple[str, int]]]) -> set[int]:
+    """Places of lines that neighbours telling something else have too; copies are passed over.
+
+    The nearest neighbour decides. If it has nearly all of the page, that may be a short text
+    in a long template or the same text beside other links, so the next one must agree.
+    """
+    found = [shared_lines([t for t, _ in lines], [t for t, _ in other]) for other in neighbours]
+    found = [shared for other, shared in zip(neighbours, found) if _differ(lines, other, shared)]
+    if not found:
+        return set()
+    sizes = {i: len(t) for i, (t, kind) in enumerate(lines) if kind != TEMPLATE}
+    most = sum(n for i, n in sizes.items() if i in found[0]) > COPY_SHARE * sum(sizes.values())
+    if most and len(found) == 1:
+        return {i for i in found[0] if lines[i][1] != CONTENT}
+    return set.intersection(*found) if most else found[0]
+
+
+def main_text(lines: list[tuple[str, int]], *neighbours: list[tuple[str, int]] | None) -> str:
+    """The article of a page beside its neighbours' lines, the nearest first.
+
+    What differencing leaves is the article. If most of that is declared, the markup is right about
+    the page: its declared lines are the article, with those that neighbours repeat.
+    """
     if any(kind == CONTENT for _, kind in lines):
         return "\n".join(text for text, kind in lines if kind == CONTENT)
-    shared = shared_lines([t for t, _ in lines], [t for t, _ in partner]) if partner else set()
-    plain = [(i, t) for i, (t, kind) in enumerate(lines) if kind == PLAIN]
-    size = sum(len(t) for _, t in plain)
-    if sum(len(t) for i, t in plain if i in shared) > COPY_SHARE * size:
-        shared = set()
-    return "\n".join(t for i, t in plain if i not in shared)
+    shared = template_lines(lines, [x for x in neighbours if x])
+    left = [(t, kind) for i, (t, kind) in enumerate(lines) if kind != TEMPLATE and i not in shared]
+    declared = sum(len(t) for t, kind in left if kind == CONTENT)
+    if declared and 2 * declared >= sum(len(t) for t, _ in left):
+        left = [(t, kind) for t, kind in lines if kind == CONTENT]
+    return "\n".join(t for t, _ in left)
 
 
 def _alike(a: str, b: str) -> int:
@@ -209,8 +244,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
         def done(before, page, after):
             near = [x for x in (before, after) if x is not None and x[:2] == page[:2]]
-            partner = max(near, key=lambda x: _alike(x[2], page[2]), default=None)
-            text = main_text(page[6], partner[6] if partner else None)
+            near.sort(key=lambda x: -_alike(x[2], page[2]))
+            text = main_text(page[6], *(x[6] for x in near))
             return page[3], page[4], text, len(text)
 
         for page_id, url, host, path, page, place, guest in rows:
