@@ -198,8 +198,6 @@ def main_text(lines: list[tuple[str, int]], *neighbours: list[tuple[str, int]] |
     What differencing leaves is the article. If most of that is declared, the markup is right about
     the page: its declared lines are the article, with those that neighbours repeat.
     """
-    if any(kind == CONTENT for _, kind in lines):
-        return "\n".join(text for text, kind in lines if kind == CONTENT)
     shared = template_lines(lines, [x for x in neighbours if x])
     left = [(t, kind) for i, (t, kind) in enumerate(lines) if kind != TEMPLATE and i not in shared]
     declared = sum(len(t) for t, kind in left if kind == CONTENT)

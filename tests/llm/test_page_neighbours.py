@@ -30,3 +30,14 @@ def test_the_same_text_beside_other_links_stays():
     one, two = (f"<body><div>Home</div>{story}<div>{link}</div></body>" for link in ("Read about cats", "More on ships"))
     got = text(one, two, "<body><div>Home</div><div>Entirely different words here</div></body>")
     assert "Sentence 19" in got and "Home" not in got
+
+
+def test_teaser_cards_do_not_hide_the_main_text():
+    cards = "<article>Read next: lakes</article><article>Read next: hills</article>"
+    page, other = (f"<body><div>Site name</div>{''.join(f'<div>{t}{i} is {t}{i + 50} line.</div>' for i in range(9))}{cards}</body>" for t in ("River", "Train"))
+    assert text(page, other) == "\n".join(f"River{i} is River{i + 50} line." for i in range(9))
+
+
+def test_declared_lines_that_neighbours_repeat_stay():
+    page = "<body><div>Menu</div><article><p>All rights are free.</p><p>{}</p></article></body>"
+    assert text(page.format("first own words"), page.format("second other text")) == "All rights are free.\nfirst own words"
