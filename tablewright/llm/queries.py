@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.catalog.base import query, table
-from tablewright.llm import bpe, chat, fingerprint, html, packing, simhash, substrings, token_store, topk, toxicity
+from tablewright.llm import (
+    bpe, chat, filter_audit, fingerprint, html, packing, prefix_trie, simhash, substrings, token_store, topk, toxicity,
+)
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
@@ -96,6 +98,81 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", "evidence")
 
 
+#: CRC-32 of a number's decimal digits: eight shifts for each of them.
+_CRC_SQL = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, (v & 1) * 3988292384))))"""
+
+
+@query("op12_prefix_trie", f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+k AS (
+  SELECT conv_id, turn, md5(length(r) || ':' || r || x) AS k, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS w FROM t),
+l AS (
+  SELECT conv_id, list(k ORDER BY turn NULLS FIRST, k) AS ks, list(w ORDER BY turn NULLS FIRST, k) AS ws, {_CRC_SQL} % 4 AS h FROM k GROUP BY conv_id),
+b AS (
+  SELECT a.conv_id, list_concat(coalesce(s.ks[1:a.h], []), a.ks[a.h + 1:]) AS ks, list_concat(coalesce(s.ws[1:a.h], []), a.ws[a.h + 1:]) AS ws
+  FROM l a LEFT JOIN l s ON s.conv_id = a.conv_id - a.conv_id % 20),
+p AS (
+  SELECT conv_id, len(ks) AS turns, d, array_to_string(ks[1:d], '') AS node, coalesce(ws[d], 0) AS w FROM (
+    SELECT *, unnest(range(0, len(ks) + 1)) AS d FROM b)),
+n AS (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (turns = d), '')) AS ends_sha256
+  FROM p GROUP BY node, d),
+c AS (
+  SELECT left(node, 32 * (d - 1)) AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+f AS (
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM n LEFT JOIN c USING (node)),
+s AS (
+  SELECT left(node, 32 * e) AS node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * w) AS saved FROM (
+    SELECT *, unnest(range(0, d + 1)) AS e FROM f) GROUP BY 1)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN s USING (node) LEFT JOIN n q ON f.d > 0 AND q.node = left(f.node, 32 * (f.d - 1))
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_filter_audit", """
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT doc_id, part, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+m AS (
+  SELECT doc_id, part, CAST(len(words) < 200 AS INT) AS a, CAST(100 * len(list_distinct(words)) < 50 * len(words) AS INT) AS b,
+         CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS INT) AS c,
+         CAST(regexp_matches(text, '[#$%&*|]') AS INT) AS d, CAST(coalesce(doc_id > first, false) AS INT) AS e FROM w),
+l AS (
+  SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+g AS (
+  SELECT part, [a, b, c, d, e] AS fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM m LEFT JOIN l USING (doc_id) GROUP BY part, a, b, c, d, e),
+f AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (
+  SELECT v.f || w.f || x.f || y.f || z.f AS filter_order FROM f v JOIN f w ON w.f <> v.f JOIN f x ON x.f NOT IN (v.f, w.f)
+  JOIN f y ON y.f NOT IN (v.f, w.f, x.f) JOIN f z ON z.f NOT IN (v.f, w.f, x.f, y.f)),
+r AS (
+  SELECT part, filter_order, n, good, toxic, fails, list_sum(fails) AS n_fails,
+         coalesce(list_min(list_filter(range(1, 6), lambda i: fails[ascii(filter_order[i]) - 64] = 1)), 6) AS gone FROM g, o),
+s AS (
+  SELECT part, filter_order, step, filter_order[step] AS letter, sum(CASE WHEN gone > step THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN gone = step THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN gone < step AND fails[ascii(filter_order[step]) - 64] = 1 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN n_fails = 1 AND fails[ascii(filter_order[step]) - 64] = 1 THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN gone = step THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN gone = step THEN toxic ELSE 0 END) AS toxic_lost
+  FROM (SELECT *, unnest(range(1, 6)) AS step FROM r) GROUP BY part, filter_order, step)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM s
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
