@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.catalog.base import query, table
 from tablewright.llm import (
-    bpe, chat, filter_audit, fingerprint, html, packing, prefix_trie, simhash, substrings, token_store, topk, toxicity,
+    bpe, chat, filter_audit, fingerprint, html, minhash, packing, prefix_trie, simhash, substrings, token_store, topk, toxicity,
 )
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -98,6 +98,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", "evidence")
 
 
+@query("op11_minhash")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 #: CRC-32 of a number's decimal digits: eight shifts for each of them.
 _CRC_SQL = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
     lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, (v & 1) * 3988292384))))"""
