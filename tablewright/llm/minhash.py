@@ -14,7 +14,7 @@ and is ``SLACK`` standard deviations off its estimate with about 1e-9; more alik
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -136,7 +136,7 @@ def packed_bits(least: np.ndarray) -> np.ndarray:
         bits = _mixed(least) >> np.uint64(64 - BITS)
     each = 64 // BITS
     shift = (np.arange(each, dtype=np.uint64) * np.uint64(BITS))[None, None]
-    return np.bitwise_or.reduce(bits.reshape(len(least), -1, each) << shift, axis=2)
+    return np.bitwise_or.reduce(bits.reshape(len(least), MINIMA // each, each) << shift, axis=2)
 
 
 def band_keys(least: np.ndarray, rows: int) -> np.ndarray:
@@ -224,8 +224,8 @@ def linked_sets(sets: list[np.ndarray], like: Similarity) -> tuple[np.ndarray, n
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def _marked(docs: DataFrame, like: Similarity) -> DataFrame:
-    """``(doc_id, body, key, size, bits, bands)`` of every row; body is a digest of its text."""
+def _marked(docs: DataFrame, like: Similarity, mark: Callable[[np.ndarray], int] | None) -> DataFrame:
+    """``(doc_id, body, key, size, value, bits, bands)`` of every row; body is a digest of its text, value the ``mark`` of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,14 +236,15 @@ def _marked(docs: DataFrame, like: Similarity) -> DataFrame:
                 least = minima([sets[i] for i in full])
                 packed, bands = packed_bits(least), band_keys(least, like.rows)
                 bits, keys = [None] * len(sets), [None] * len(sets)
+                values = np.array([mark(s) if mark else 0 for s in sets], np.uint64).view(np.int64)
                 for row, i in enumerate(full):
                     bits[i], keys[i] = packed[row].tobytes(), bands[row].tobytes()
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column(0).slice(a, b - a), "body": batch.column(1).slice(a, b - a), "key": pa.array([set_key(s) for s in sets], pa.binary()),
-                    "size": pa.array([len(s) for s in sets], pa.int64()), "bits": pa.array(bits, pa.binary()), "bands": pa.array(keys, pa.binary())})
+                    "size": pa.array([len(s) for s in sets], pa.int64()), "value": values, "bits": pa.array(bits, pa.binary()), "bands": pa.array(keys, pa.binary())})
 
     source = _source(docs)
-    return source.mapInArrow(run, "doc_id bigint, body binary, key binary, size bigint, bits binary, bands binary")
+    return source.mapInArrow(run, "doc_id bigint, body binary, key binary, size bigint, value bigint, bits binary, bands binary")
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -365,10 +366,10 @@ def distinct_sets(marked: DataFrame) -> DataFrame:
     A set whose rows all lack a doc_id gets a large node number of its own.
     """
     stands = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "body")
-    sets = marked.groupBy("key").agg(F.min(stands).alias("r"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"),
+    sets = marked.groupBy("key").agg(F.min(stands).alias("r"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("value").alias("value"),
                                      F.first("bits").alias("bits"), F.first("bands").alias("bands"))
     nameless = F.lit(_NAMELESS) + F.shiftrightunsigned(F.xxhash64("key"), 2)
-    return sets.select("key", F.coalesce("r.doc_id", nameless).alias("node"), "r.doc_id", "r.body", "n", "size", "bits", "bands")
+    return sets.select("key", F.coalesce("r.doc_id", nameless).alias("node"), "r.doc_id", "r.body", "n", "size", "value", "bits", "bands")
 
 
 def _one_document(marked: DataFrame, sets: DataFrame) -> DataFrame:
@@ -389,7 +390,8 @@ def _looked_up(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return left.join(right.drop("n"), ["key", "salt"]).drop("salt")
 
 
-def near_duplicates(docs: DataFrame, like: Similarity = Similarity(), proposed=None, empty_linked: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, like: Similarity = Similarity(), proposed: Callable[[DataFrame], DataFrame] | None = None,
+                    mark: Callable[[np.ndarray], int] | None = None, empty_linked: bool = False) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row.
 
     component_id is the smallest doc_id that links reach, its own included. Texts without words
@@ -397,14 +399,15 @@ def near_duplicates(docs: DataFrame, like: Similarity = Similarity(), proposed=N
     text of fewer words than a shingle is one shingle. Rows of one doc_id are one document, so what
     either text is linked with is linked; rows of NULL doc_id take part, but never name a
     component (NULL for one of only such rows); an empty table gives no rows; other columns are
-    not read. ``proposed`` (docs, sets) may give further candidate edges ``(a, b)`` of nodes.
+    not read. ``proposed`` may give further candidate edges ``(a, b)`` of nodes, from the table of
+    sets with the ``mark`` of each as ``value``.
     """
-    marked = stored(_marked(docs, like), "marked")
+    marked = stored(_marked(docs, like, mark), "marked")
     sets = stored(distinct_sets(marked), "sets")
     full = sets.where("size > 0")
     edges = candidate_edges(full, like)
     if proposed is not None:
-        edges = edges.unionByName(proposed(docs, full))
+        edges = edges.unionByName(proposed(full))
     groups = components(edges)
     links = components(true_links(docs, full, groups, like).unionByName(_one_document(marked, full)))
     named = sets.join(links, "node", "left").select("key", "n", F.col("size").alias("n_shingles"), F.coalesce("component", "node").alias("component"))

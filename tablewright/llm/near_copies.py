@@ -1,175 +1,40 @@
 """Near copies: texts whose sets of five-word shingles have a similarity of 0.8 or more.
 
 No limit on SimHash bits finds all of them (at 0.8 about ten of 64 bits differ, sixteen and more
-now and then), so fingerprints only propose pairs early. All others come from a prefix join: in
-any common order of shingles, two sets this alike share one of the first fifth of both. Shingles
-that are frequent in a sample come last, so common passages make no pairs. Every proposed pair is
-verified on the whole shingle sets.
+now and then), so SimHash links only put sets into a candidate group; MinHash buckets put in the
+rest. Whole shingle sets decide within each group, whose texts meet once: no text travels with
+a pair, and no pairs are written but the links of a forest.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm import simhash
-from tablewright.llm.common import components, plain_text, stored
-
-SHINGLE_WORDS = 5
-#: Least similarity (shared shingles by all shingles of both) as a fraction.
-SHARED, OF_ALL = 4, 5
-#: Texts whose shingles are counted for the order, and texts of them that make a shingle frequent.
-#: They change the number of pairs tried, never the result.
-SAMPLE_TEXTS = 20_000
-FREQUENT = 5
-MOST_FREQUENT = 1_000_000
-
-
-def _set_id(hashes: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(hashes.tobytes(), simhash.HASH_SEED)
-
-
-def _marked(docs: DataFrame) -> DataFrame:
-    """``(doc_id, set_id, value)``: shingle set and SimHash of every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets, values = [], []
-            for text in batch.column(1).to_pylist():
-                hashes = simhash.shingle_hashes(text, SHINGLE_WORDS)
-                sets.append(_set_id(np.unique(hashes)))
-                values.append(simhash.fingerprint_of(hashes))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), **{c: np.array(v, np.uint64).view(np.int64) for c, v in (("set_id", sets), ("value", values))}})
-
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), plain_text("text").alias("text"))
-    return source.mapInArrow(run, "doc_id bigint, set_id bigint, value bigint")
-
-
-def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the shingles that many sampled texts hold, and how many do."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_pydict({"key": np.unique(simhash.shingle_hashes(text, SHINGLE_WORDS)).view(np.int64)})
-
-    texts = docs.select(plain_text("text").alias("text"))
-    share = SAMPLE_TEXTS / max(SAMPLE_TEXTS, texts.count())
-    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    counts = sample.mapInArrow(run, "key bigint").groupBy("key").count().where(F.col("count") >= FREQUENT)
-    found = counts.orderBy(F.desc("count"), "key").limit(MOST_FREQUENT).toArrow()
-    keys, times = found.column("key").to_numpy().view(np.uint64), found.column("count").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], times[order]
-
+from tablewright.llm import minhash, simhash
+from tablewright.llm.minhash import Similarity
 
-def prefix(hashes: np.ndarray, frequent: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, rare ones before frequent ones: sets alike share one of them."""
-    rank = np.zeros(len(hashes), np.int64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-        rank = np.where(frequent[at] == hashes, times[at], 0)
-    most = len(hashes) + (-SHARED * len(hashes) // OF_ALL) + 1
-    return hashes[np.lexsort((hashes, rank))[:most]]
+LIKE = Similarity(words=5, share=4, of_all=5, rows=4)
 
 
-def _postings(docs: DataFrame) -> DataFrame:
-    """``(key, set_id, size, place)``: prefix shingles that more than one set has."""
-    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, times = shared.value
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for i in range(0, len(texts), 500):
-                keys, ids, sizes = [], [], []
-                for text in texts[i:i + 500]:
-                    hashes = np.unique(simhash.shingle_hashes(text, SHINGLE_WORDS))
-                    if len(hashes):
-                        keys.append(prefix(hashes, frequent, times))
-                        ids.append(_set_id(hashes))
-                        sizes.append(len(hashes))
-                if keys:
-                    times_ = [len(k) for k in keys]
-                    yield pa.RecordBatch.from_pydict({
-                        "key": np.concatenate(keys).view(np.int64), "set_id": np.repeat(np.array(ids, np.uint64).view(np.int64), times_),
-                        "size": np.repeat(np.array(sizes, np.int32), times_), "place": np.concatenate([np.arange(n, dtype=np.int32) for n in times_])})
-
-    rows = docs.select(plain_text("text").alias("text")).mapInArrow(run, "key bigint, set_id bigint, size int, place int").distinct()
-    return rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n")
-
-
-def _possible(a: str, b: str):
-    """Whether sizes and places of a shared prefix shingle leave room for the least similarity."""
-    room = F.least(F.col(f"{a}.size") - F.col(f"{a}.place"), F.col(f"{b}.size") - F.col(f"{b}.place"))
-    return F.lit(SHARED + OF_ALL) * (room + F.least(f"{a}.place", f"{b}.place")) >= F.lit(SHARED) * (F.col(f"{a}.size") + F.col(f"{b}.size"))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` of sets whose similarity is high enough."""
-    pairs = stored(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_set_id(np.unique(simhash.shingle_hashes(t, SHINGLE_WORDS))) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"set_id": np.array(found, np.uint64).view(np.int64), "text": batch.column(0)})
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
-        for batch in batches:
-            keep = []
-            for a, one, two in zip(*(batch.column(c).to_pylist() for c in ("a", "one", "two"))):
-                if a != last:
-                    last, held = a, np.unique(simhash.shingle_hashes(one, SHINGLE_WORDS))
-                other = np.unique(simhash.shingle_hashes(two, SHINGLE_WORDS))
-                both = len(np.intersect1d(held, other, assume_unique=True))
-                keep.append(OF_ALL * both >= SHARED * (len(held) + len(other) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    bodies = docs.select(plain_text("text").alias("text")).mapInArrow(named, "set_id bigint, text string").groupBy("set_id").agg(F.first("text").alias("text"))
-    bodies = stored(bodies.join(ids, "set_id", "left_semi"), "bodies")
-    both = pairs.join(bodies.select(F.col("set_id").alias("a"), F.col("text").alias("one")), "a")
-    both = both.join(bodies.select(F.col("set_id").alias("b"), F.col("text").alias("two")), "b")
-    return stored(both.select("a", "b", "one", "two").mapInArrow(alike, "a bigint, b bigint"), "alike")
+def simhash_links(sets: DataFrame) -> DataFrame:
+    """``(a, b)``: nodes of sets whose fingerprints differ in at most four bits (a forest of them)."""
+    owners = sets.groupBy("value").agg(F.min("node").alias("owner"))
+    same = sets.join(owners, "value").where("node <> owner").select(F.col("owner").alias("a"), F.col("node").alias("b"))
+    links = simhash._near_links(owners.select("value"), simhash.MOST_BITS)
+    named = owners.withColumnRenamed("owner", "node")
+    one = named.select(F.col("value").alias("a"), F.col("node").alias("one"))
+    two = named.select(F.col("value").alias("b"), F.col("node").alias("two"))
+    return same.unionByName(links.join(one, "a").join(two, "b").select(F.col("one").alias("a"), F.col("two").alias("b")))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """``(doc_id, component_id)`` for every row; component_id is the smallest doc_id that links reach.
 
     Texts with a similarity of 0.8 or more are linked; a text of under five words is one shingle,
-    and texts without words are copies of each other. Rows of NULL doc_id take part but never name
-    a component; repeated rows stay; other columns are not read.
+    and texts without words are copies of each other. Rows of one doc_id are one document; rows of
+    NULL doc_id take part but never name a component (NULL for one of only such rows); repeated
+    rows stay; an empty table gives no rows; other columns are not read.
     """
-    marked = stored(_marked(docs), "marked")
-    sets = marked.groupBy("set_id").agg(F.min("doc_id").alias("first"))
-    postings = stored(_postings(docs), "postings")
-
-    # Early pairs: SimHash links, and the first set of each shingle with all others.
-    owners = marked.groupBy("value").agg(F.min("set_id").alias("owner"))
-    same = marked.select("value", "set_id").distinct().join(owners, "value").select(F.col("owner").alias("a"), F.col("set_id").alias("b"))
-    links = simhash._near_links(owners.select("value"), simhash.MOST_BITS)
-    near = links.join(owners.select(F.col("value").alias("a"), F.col("owner").alias("one")), "a").join(owners.select(F.col("value").alias("b"), F.col("owner").alias("two")), "b")
-    heads = postings.groupBy("key").agg(F.min(F.struct("set_id", "size", "place")).alias("p")).select("key", "p.*")
-    stars = postings.alias("x").join(heads.alias("y"), "key").where(_possible("x", "y")).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
-    early = _verified(same.unionByName(near.select(F.col("one").alias("a"), F.col("two").alias("b"))).unionByName(stars), docs)
-    found = stored(components(early), "components")
-
-    # All pairs that share a prefix shingle and are not joined up yet.
-    label = postings.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    mixed = label.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    label = stored(label.join(mixed, "key", "left_semi"), "apart")
-    rest = label.alias("x").join(label.alias("y"), "key").where(F.col("x.set_id") < F.col("y.set_id")).where(F.col("x.component") != F.col("y.component")).where(_possible("x", "y"))
-    tried = early.select("a", "b")
-    late = _verified(rest.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct(), docs)
-    if late.limit(1).count():
-        found = components(tried.unionByName(late))
-    grouped = sets.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "first", F.coalesce("component", "set_id").alias("component"))
-    named = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = grouped.join(named, "component").select("set_id", "component_id")
-    return marked.join(named, "set_id").select("doc_id", "component_id")
+    found = minhash.near_duplicates(docs, LIKE, proposed=simhash_links, mark=simhash.fingerprint_of, empty_linked=True)
+    return found.select("doc_id", "component_id")

@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tablewright.llm import bpe, fingerprint, packing, simhash, substrings, token_store, toxicity
+from tests.llm.test_near_copies import brute as brute_near_copies
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, bucket int, range int, guest int, key string, value int, count int"
@@ -368,12 +369,23 @@ def test_pipeline_stages(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert one.columns == docs.columns and {r.doc_id for r in one.collect()} == set(texts) - toxic
     two = corpus_pipeline.stored(kept["simhash"](spark, one, sf_dir), "t")
-    rows = [(d, t) for d, t in texts.items() if d not in toxic]
-    _, component = brute_simhash(rows)
-    assert {r.doc_id for r in two.collect()} == set(component.values())
+    first = set(brute_near_copies([(d, t) for d, t in texts.items() if d not in toxic]).values())
+    assert {r.doc_id for r in two.collect()} == first
     three = corpus_pipeline.stored(kept["substrings"](spark, two, sf_dir), "t")
-    want = brute_repeats([(d, texts[d]) for d in set(component.values())])
+    want = brute_repeats([(d, texts[d]) for d in first])
     assert three.columns == docs.columns
     for r in three.collect():
         assert r.text == (want[r.doc_id][2] if want[r.doc_id][1] else texts[r.doc_id]) and r.n_chars == len(r.text)
     assert held_sequences(kept["packing"](spark, three, sf_dir).collect(), 1024)
+
+
+def test_pipeline_on_odd_tables(spark):
+    """Empty tables, NULL and repeated doc_ids and clashing columns go through the stages after the first."""
+    for rows in ([], [(None, "a b", 1), (None, None, 2), (4, "seven words are in this text twice", 3), (4, "seven words are in this text twice", 3), (5, "", 0), (6, None, 0)]):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint").selectExpr("*", "'x' AS key", "1 AS node", "2 AS component", "X'00' AS body", "1 AS score")
+        out = docs
+        for name, stage in corpus_pipeline.STAGES[1:3]:
+            out = corpus_pipeline.stored(stage(spark, out, ""), name)
+            assert out.columns == docs.columns
+        assert sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in out.collect()) == sorted((d is not None, d or 0, t or "") for d, t, _ in rows if d != 6)
+        assert sum(r.length for r in corpus_pipeline.STAGES[3][1](spark, out, "").collect()) >= out.count()
