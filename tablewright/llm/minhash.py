@@ -342,8 +342,8 @@ def true_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, like: Simila
     named = wanted.join(blocks, "group", "left")
     own = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int")
     same = F.col("w.body").eqNullSafe(F.col("d.body")) & F.col("w.doc_id").eqNullSafe(F.col("d.doc_id"))
-    # Under text and doc_id, so that many copies of a text are no hot key.
-    texts = _source(docs).alias("d").join(named.alias("w"), same).select("w.group", "w.node", "w.parts", F.col("d.text").alias("text"))
+    # Under text and doc_id, so that many copies of a text are no hot key; one plan at every size.
+    texts = _source(docs).alias("d").join(named.hint("merge").alias("w"), same).select("w.group", "w.node", "w.parts", F.col("d.text").alias("text"))
     cells = _dealt(texts, "group", F.coalesce("parts", F.lit(1)), own).select("cell", "node", "text")
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
