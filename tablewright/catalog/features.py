@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from tablewright.catalog.base import GAPS_SQL, hash_sql, lineitem_with_gaps, query, stack_sql, table
 from tablewright.operators import dates, encode, generate, impute, scale, select, text
 from tablewright.operators.lookup import LookupTable
+from tablewright.operators.schema import small_frame
 from tablewright.plans.features import FeatureOptions, fit_features
+from tablewright.session import scratch_path
+from tablewright.sources.stored_plans import load_plan, save_plan
 
 # --- imputation ------------------------------------------------------------------
 
@@ -94,6 +97,19 @@ def impute_indicator(spark, sf_dir):
     return impute.fit_fill(li, "zero", columns=["l_quantity", "l_extendedprice", "l_discount"], add_indicator=True).transform(li)
 
 
+@query("impute_nulls_remaining", f"""
+WITH {GAPS_SQL}
+SELECT CAST(count(*) FILTER (l_quantity IS NULL) + count(*) FILTER (l_extendedprice IS NULL) + count(*) FILTER (l_returnflag IS NULL) AS BIGINT) AS nulls_before,
+       CAST(count(*) FILTER (l_returnflag IS NULL) AS BIGINT) AS nulls_after FROM gaps""")
+def impute_nulls_remaining(spark, sf_dir):
+    """What numeric imputation leaves: the gaps of the text column."""
+    columns = ["l_quantity", "l_extendedprice", "l_returnflag"]
+    li = lineitem_with_gaps(spark, sf_dir).select("l_orderkey", *columns)
+    filled = impute.fit_fill(li, "mean", "none", columns=columns).transform(li)
+    rows = [(impute.nulls_remaining(li, columns), impute.nulls_remaining(filled, columns))]
+    return small_frame(spark, rows, "nulls_before bigint, nulls_after bigint")
+
+
 def _parts_with_gaps(spark, sf_dir):
     key = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(
@@ -588,7 +604,7 @@ _COLUMNS = ("l_quantity", "o_totalprice", "o_orderpriority")
 _TARGET_CODE = "prior * (1 - 1 / (1 + exp(-(count(*) - 20) / 10.0))) + avg(y) * (1 / (1 + exp(-(count(*) - 20) / 10.0)))"
 
 
-@query("fe_fit_transform", f"""
+_PLAN_SQL = f"""
 WITH j AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 7 <> 0 THEN l_quantity END AS l_quantity, (l_returnflag = 'R')::INTEGER AS y,
                   o_totalprice, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS o_orderpriority
            FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -598,13 +614,29 @@ c AS (SELECT o_orderpriority, {_TARGET_CODE} AS code FROM f, (SELECT avg(y) AS p
 e AS (SELECT l_orderkey, l_linenumber, y, l_quantity, o_totalprice, code AS o_orderpriority FROM f JOIN c USING (o_orderpriority)),
 s AS (SELECT l_orderkey, l_linenumber, y, {', '.join(f"({c} - (SELECT median({c}) FROM e)) / coalesce(nullif((SELECT quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) FROM e), 0), 1) AS {c}" for c in _COLUMNS)} FROM e)
 SELECT l_orderkey, l_linenumber, y, round(l_quantity, 6) AS l_quantity, round(o_totalprice, 6) AS o_totalprice, round(o_orderpriority, 6) AS o_orderpriority,
-       round(l_quantity * l_quantity, 6) AS "poly__l_quantity^2", round(l_quantity * o_totalprice, 6) AS "poly__l_quantity o_totalprice" FROM s""")
+       round(l_quantity * l_quantity, 6) AS "poly__l_quantity^2", round(l_quantity * o_totalprice, 6) AS "poly__l_quantity o_totalprice" FROM s"""
+
+
+@query("fe_fit_transform", _PLAN_SQL)
 def fe_fit_transform(spark, sf_dir):
     joined = _joined(spark, sf_dir)
     fitted = fit_features(joined, "y", True, FeatureOptions(select=False, text=False), passthrough=["l_orderkey", "l_linenumber"])
+    return _plan_columns(fitted.transform(joined))
+
+
+def _plan_columns(out):
     names = [*_COLUMNS, "poly__l_quantity^2", "poly__l_quantity o_totalprice"]
-    return fitted.transform(joined).select(
-        "l_orderkey", "l_linenumber", "y", *[F.round(f"`{c}`", 6).alias(c) for c in names])
+    return out.select("l_orderkey", "l_linenumber", "y", *[F.round(f"`{c}`", 6).alias(c) for c in names])
+
+
+@query("plan_roundtrip", _PLAN_SQL)
+def plan_roundtrip(spark, sf_dir):
+    """The plan stored as a version, loaded again by name and applied."""
+    joined = _joined(spark, sf_dir)
+    fitted = fit_features(joined, "y", True, FeatureOptions(select=False, text=False), passthrough=["l_orderkey", "l_linenumber"])
+    root = scratch_path(spark, "plans")
+    save_plan(spark, fitted, root, "lines")
+    return _plan_columns(load_plan(spark, root, "lines").transform(joined))
 
 
 @query("fe_documents")

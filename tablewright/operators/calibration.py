@@ -11,6 +11,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.sources.stored_plans import storable
+
 
 def brier(df: DataFrame, truth: str = "y_true", score: str = "score") -> DataFrame:
     gap = F.col(score) - F.col(truth).cast("double")
@@ -36,6 +38,7 @@ def calibration_error(df: DataFrame, truth: str = "y_true", score: str = "score"
         F.avg(gap).alias("ece"), F.try_divide(F.sum(gap * F.col("n")), F.sum("n").cast("double")).alias("ece_weighted"))
 
 
+@storable
 @dataclass(frozen=True)
 class Calibrator:
     """A fitted map from raw score to probability."""

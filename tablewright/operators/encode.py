@@ -13,6 +13,7 @@ from tablewright.functions.hashing import hash_slot
 from tablewright.operators.lookup import LookupTable
 from tablewright.operators.order import running_sums
 from tablewright.operators.schema import distinct_counts, string_columns
+from tablewright.sources.stored_plans import storable
 
 STRATEGIES = ("onehot", "ordinal", "target", "woe", "binary", "frequency", "hashing")
 MAX_ONEHOT = 1_000
@@ -25,6 +26,7 @@ def route_columns(df: DataFrame, columns: Sequence[str] | None = None, threshold
         "route", F.when(F.col("n_distinct") > threshold, "high").otherwise("low"))
 
 
+@storable
 @dataclass(frozen=True)
 class FittedEncoder:
     """One strategy over several columns."""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators.split import kfold, stratified_kfold
 from tablewright.session import hold
+from tablewright.sources.stored_plans import storable
 
 
 def weighted_average(columns: Sequence[Column], weights: Sequence[float] | None = None) -> Column:
@@ -47,6 +48,7 @@ def model_scores(model, df: DataFrame, classification: bool, prefix: str, n_clas
     return scored.select(*df.columns, *columns)
 
 
+@storable(fields=("bases", "meta", "classification", "n_classes", "passthrough"))
 class StackedModel:
     """Base models, and a meta-learner over their out-of-fold scores."""
 

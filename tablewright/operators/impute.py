@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
-from functools import reduce
+from dataclasses import dataclass
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.operators.chained import ChainedFill, fit_chained
+from tablewright.operators.neighbours import NeighbourFill, fit_neighbours
 from tablewright.operators.order import clean_number, quantiles
 from tablewright.operators.quality import missing
 from tablewright.operators.schema import numeric_columns, value_counts
-from tablewright.session import cut_lineage, hold
+from tablewright.sources.stored_plans import storable
+
+__all__ = ["ChainedFill", "FilledValues", "NeighbourFill", "fit_chained", "fit_fill", "fit_neighbours", "modes", "nulls_remaining"]
 
 NUMERIC_STRATEGIES = ("mean", "median", "zero", "constant", "knn", "iterative", "none")
 CATEGORICAL_STRATEGIES = ("most_frequent", "constant", "none")
@@ -24,6 +26,7 @@ def _value(df: DataFrame, column: str) -> Column:
     return F.when(~missing(df, column), F.col(column))
 
 
+@storable
 @dataclass(frozen=True)
 class FilledValues:
     """Fill value per column; a column with nothing to learn from stays missing."""
@@ -115,259 +118,3 @@ def nulls_remaining(df: DataFrame, columns: Sequence[str] | None = None) -> int:
     columns = list(columns or df.columns)
     gone = sum((missing(df, c).cast("bigint") for c in columns), F.lit(0).cast("bigint"))
     return df.agg(F.coalesce(F.sum(gone), F.lit(0)).alias("n")).first()["n"]
-
-
-# --- nearest neighbours ----------------------------------------------------------
-
-_LEVELS = 14
-_GROWTH = 4.0
-_CELL_TARGET = 64
-
-
-def _vector_key(columns: Sequence[str]) -> Column:
-    """Text identity of a row's values, missing ones included."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]), 256)
-
-
-def _pattern(columns: Sequence[str]) -> Column:
-    """Bit i is set where column i is present."""
-    bits = [F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(columns)]
-    return reduce(lambda a, b: a + b, bits)
-
-
-def _any_missing(columns: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
-
-
-@dataclass(frozen=True)
-class NeighbourFill:
-    """Mean of the k nearest donors by distance over the values both rows have.
-
-    The squared distance over the shared columns is scaled by (columns / shared columns).
-    Equal rows are one donor with a weight, so copies cost nothing. Among donors at one
-    distance the smaller donated value comes first.
-
-    The search is exact and never pairs everything: donors and rows meet in the cells of
-    a grid over at most two shared columns. A row looks at its own cell and the adjoining
-    ones; when its k-th distance is within one cell width it is settled, since every donor
-    outside is farther away. The others try again on a grid four times wider.
-    """
-
-    donors: DataFrame            # distinct numeric vectors with their pattern and weight
-    columns: tuple[str, ...]
-    k: int
-    patterns: tuple[int, ...]
-    fallback: dict[str, float | None]
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        columns = list(self.columns)
-        clean = df.select(
-            *[_value(df, c).cast("double").alias(c) if c in columns else F.col(c) for c in df.columns])
-        rows = hold(
-            clean.where(_any_missing(columns)).groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-            .withColumn("_row", _vector_key(columns)).withColumn("_pattern", _pattern(columns))
-        )
-        fills = self._fills(rows)
-        if fills is None:
-            return clean
-        table = rows.select(F.col("_row").alias("key"), F.col("_n").alias("n")).join(
-            fills.withColumnRenamed("_row", "key"), "key")
-        from tablewright.operators.lookup import LookupTable
-
-        keyed = clean.withColumn("_row", F.when(_any_missing(columns), _vector_key(columns)))
-        joined = LookupTable.build(table).join(keyed, "_row", [f"_fill_{c}" for c in columns], "")
-        return joined.select(*[
-            F.coalesce(F.col(c), F.col(f"_fill_{c}"), F.lit(self.fallback[c])).alias(c)
-            if c in columns else F.col(c) for c in df.columns
-        ])
-
-    def _fills(self, rows: DataFrame) -> DataFrame | None:
-        """One row per distinct incomplete vector with the fill of each column."""
-        found = []
-        for asking in [r["_pattern"] for r in rows.select("_pattern").distinct().collect()]:
-            queries = rows.where(F.col("_pattern") == asking)
-            for giving in self.patterns:
-                shared = [c for i, c in enumerate(self.columns) if (asking & giving) >> i & 1]
-                if not shared:
-                    continue
-                for i, target in enumerate(self.columns):
-                    if (giving >> i) & 1 and not (asking >> i) & 1:
-                        found.append(self._search(queries, giving, shared, target))
-        if not found:
-            return None
-        near = reduce(DataFrame.unionByName, found)
-        best = self._nearest(near, ["_row", "_target"])
-        filled = best.groupBy("_row", "_target").agg(
-            (F.sum(F.col("_value") * F.col("_take")) / F.sum("_take")).alias("_fill"))
-        return filled.groupBy("_row").agg(*[
-            F.max(F.when(F.col("_target") == c, F.col("_fill"))).alias(f"_fill_{c}") for c in self.columns])
-
-    def _nearest(self, pairs: DataFrame, by: list[str]) -> DataFrame:
-        """The first k donors by weight; the rank limit is applied before the shuffle too."""
-        order = Window.partitionBy(*by).orderBy("_d2", "_value")
-        first = pairs.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= self.k)
-        before = F.coalesce(
-            F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return (
-            first.withColumn("_before", before).where(F.col("_before") < self.k)
-            .withColumn("_take", F.least(F.col("_n"), self.k - F.col("_before")))
-            .drop("_rank", "_before")
-        )
-
-    def _search(self, queries: DataFrame, giving: int, shared: list[str], target: str) -> DataFrame:
-        """Nearest donors of one pattern for rows of one pattern: (_row, _target, _d2, _value, _n)."""
-        spread = len(self.columns) / len(shared)
-        dims = shared[:2]
-        donors = hold(
-            self.donors.where(F.col("_pattern") == giving)
-            .groupBy(*[F.col(c).alias(f"d_{c}") for c in shared], F.col(target).alias("_value"))
-            .agg(F.sum("_n").alias("_n"))
-        )
-        asked = queries.select("_row", *[F.col(c).alias(f"q_{c}") for c in shared])
-        widths = self._widths(asked, donors, dims)
-        distance = spread * sum(
-            (F.col(f"q_{c}") - F.col(f"d_{c}")) * (F.col(f"q_{c}") - F.col(f"d_{c}")) for c in shared)
-        settled = []
-        for step, width in enumerate(widths):
-            steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-            left, right = asked, donors
-            for i, c in enumerate(dims):
-                left = left.withColumn(f"_s{i}", F.explode(steps)).withColumn(
-                    f"_g{i}", F.floor(F.col(f"q_{c}") / width).cast("bigint") + F.col(f"_s{i}")).drop(f"_s{i}")
-                right = right.withColumn(f"_g{i}", F.floor(F.col(f"d_{c}") / width).cast("bigint"))
-            pairs = left.join(right, [f"_g{i}" for i in range(len(dims))]).select(
-                "_row", distance.alias("_d2"), "_value", "_n")
-            near = hold(self._nearest(pairs, ["_row"]))
-            if step == len(widths) - 1:
-                settled.append(near)
-                break
-            done = near.groupBy("_row").agg(F.sum("_take").alias("_w"), F.max("_d2").alias("_far")).where(
-                (F.col("_w") >= self.k) & (F.col("_far") <= 0.999 * spread * width * width)).select("_row")
-            settled.append(near.join(done, "_row", "left_semi"))
-            asked = hold(asked.join(done, "_row", "left_anti"))
-            if asked.isEmpty():
-                break
-        return reduce(DataFrame.unionByName, settled).select(
-            "_row", F.lit(target).alias("_target"), "_d2", "_value", "_n")
-
-    @staticmethod
-    def _widths(asked: DataFrame, donors: DataFrame, dims: list[str]) -> list[float]:
-        """Cell widths to try: from where the fullest cell is small up to the whole range.
-
-        All levels are counted in one map-side combined job.
-        """
-        ends = [
-            side.agg(*[a for c in dims for a in (F.min(f"{p}_{c}"), F.max(f"{p}_{c}"))]).first()
-            for side, p in ((asked, "q"), (donors, "d"))
-        ]
-        spans = []
-        for i in range(len(dims)):
-            known = [e[j] for e in ends for j in (2 * i, 2 * i + 1) if e[j] is not None]
-            spans.append(max(known) - min(known) if known else 0.0)
-        span = max(spans) or 1.0
-        widths = [span * 1.001 / _GROWTH ** j for j in range(_LEVELS)]
-        levels = donors.withColumn("_level", F.explode(F.array(*[F.lit(j) for j in range(_LEVELS)]))).withColumn(
-            "_width", F.lit(widths[0]) / F.pow(F.lit(_GROWTH), F.col("_level")))
-        fullest = (
-            levels.groupBy("_level", *[F.floor(F.col(f"d_{c}") / F.col("_width")).alias(f"_g{i}") for i, c in enumerate(dims)])
-            .count().groupBy("_level").agg(F.max("count").alias("n")).collect()
-        )
-        crowd = {r["_level"]: r["n"] for r in fullest}
-        start = next((j for j in range(_LEVELS) if crowd.get(j, 0) <= _CELL_TARGET), _LEVELS - 1)
-        return widths[start::-1]
-
-
-def fit_neighbours(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5) -> NeighbourFill:
-    """Every row of the fitted table is a donor for the columns it has."""
-    columns = list(columns or numeric_columns(df))
-    clean = df.select(*[_value(df, c).cast("double").alias(c) for c in columns])
-    donors = hold(
-        clean.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_pattern", _pattern(columns)))
-    patterns = tuple(sorted(r["_pattern"] for r in donors.select("_pattern").distinct().collect()))
-    means = clean.agg(*[F.avg(c).alias(c) for c in columns]).first().asDict()
-    return NeighbourFill(donors, tuple(columns), k, patterns, means)
-
-
-# --- chained regressions ---------------------------------------------------------
-
-
-@dataclass(frozen=True)
-class ChainedFill:
-    """Each incomplete column is regressed on all others, round after round.
-
-    A fit is one Gram matrix, summed by the executors in one aggregate; only its few
-    numbers come to the driver to be solved. Applying the model is a chain of narrow
-    projections.
-    """
-
-    columns: tuple[str, ...]
-    starts: dict[str, float]
-    steps: tuple[tuple[str, float, tuple[float, ...]], ...] = field(default=())
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        out = df.select("*", *[_value(df, c).cast("double").alias(f"_x_{c}") for c in self.columns],
-                        *[F.coalesce(_value(df, c).cast("double"), F.lit(self.starts[c])).alias(f"_c_{c}")
-                          for c in self.columns])
-        for target, intercept, weights in self.steps:
-            out = _apply_step(out, self.columns, target, intercept, weights)
-        return out.select(*[F.col(f"_c_{c}").alias(c) if c in self.columns else F.col(c) for c in df.columns])
-
-
-def _apply_step(df: DataFrame, columns: Sequence[str], target: str, intercept: float, weights: Sequence[float]) -> DataFrame:
-    others = [c for c in columns if c != target]
-    predicted = F.lit(intercept)
-    for c, w in zip(others, weights, strict=True):
-        predicted = predicted + F.lit(w) * F.col(f"_c_{c}")
-    return df.withColumn(f"_c_{target}", F.coalesce(F.col(f"_x_{target}"), predicted))
-
-
-def fit_chained(df: DataFrame, columns: Sequence[str] | None = None, rounds: int = 10,
-                ridge: float = 1e-6, tolerance: float = 1e-3) -> ChainedFill:
-    """Chained ridge regressions; columns with fewest gaps first."""
-    columns = list(columns or numeric_columns(df))
-    clean = df.select(*[_value(df, c).cast("double").alias(f"_x_{c}") for c in columns])
-    facts = clean.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count(f"_x_{c}").alias(f"n_{c}") for c in columns],
-        *[F.avg(f"_x_{c}").alias(f"m_{c}") for c in columns],
-        *[F.stddev_pop(f"_x_{c}").alias(f"s_{c}") for c in columns],
-    ).first()
-    starts = {c: facts[f"m_{c}"] if facts[f"m_{c}"] is not None else 0.0 for c in columns}
-    scales = {c: facts[f"s_{c}"] or 1.0 for c in columns}
-    gaps = sorted((c for c in columns if 0 < facts[f"n_{c}"] < facts["n"]),
-                  key=lambda c: facts["n"] - facts[f"n_{c}"])
-    state = clean.select("*", *[F.coalesce(F.col(f"_x_{c}"), F.lit(starts[c])).alias(f"_c_{c}") for c in columns])
-    steps: list[tuple[str, float, tuple[float, ...]]] = []
-    previous: dict[str, tuple] = {}
-    for _ in range(rounds if gaps else 0):
-        moved = 0.0
-        for target in gaps:
-            others = [c for c in columns if c != target]
-            z = [(F.col(f"_c_{c}") - starts[c]) / scales[c] for c in others]
-            y = (F.col(f"_x_{target}") - starts[target]) / scales[target]
-            p = len(others)
-            known = state.where(F.col(f"_x_{target}").isNotNull())
-            row = known.agg(
-                F.count(F.lit(1)), F.sum(y), *[F.sum(v) for v in z], *[F.sum(v * y) for v in z],
-                *[F.sum(z[i] * z[j]) for i in range(p) for j in range(i, p)],
-            ).first()
-            n, sy = row[0], row[1]
-            sz, szy = np.array(row[2:2 + p]), np.array(row[2 + p:2 + 2 * p])
-            gram = np.zeros((p, p))
-            gram[np.triu_indices(p)] = row[2 + 2 * p:]
-            gram = gram + gram.T - np.diag(np.diag(gram))
-            centred = gram - np.outer(sz, sz) / n + ridge * np.eye(p)
-            beta = np.linalg.lstsq(centred, szy - sz * sy / n, rcond=None)[0]
-            alpha = sy / n - float(beta @ (sz / n))
-            weights = tuple(float(b * scales[target] / scales[c]) for b, c in zip(beta, others, strict=True))
-            intercept = float(starts[target] + scales[target] * alpha - sum(w * starts[c] for w, c in zip(weights, others, strict=True)))
-            steps.append((target, intercept, weights))
-            state = _apply_step(state, columns, target, intercept, weights)
-            before = previous.get(target)
-            change = max(abs(a - b) for a, b in zip((alpha, *beta), before, strict=True)) if before else 1.0
-            moved = max(moved, change)
-            previous[target] = (alpha, *beta)
-        if moved < tolerance:
-            break
-        state = cut_lineage(state)
-    return ChainedFill(tuple(columns), starts, tuple(steps))

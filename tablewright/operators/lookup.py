@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.session import hold
+from tablewright.sources.stored_plans import storable
 
 BROADCAST_ROWS = 200_000
 _HOT_SHARE = 0.001
 _SALTS = 64
 
 
+@storable
 @dataclass(frozen=True)
 class LookupTable:
     """One row per key with fitted values.

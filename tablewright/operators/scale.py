@@ -13,6 +13,7 @@ from tablewright.functions.literals import number_row, number_rows
 from tablewright.functions.tails import inverse_normal
 from tablewright.operators.order import clean_number, column_extent, quantiles, running_sums
 from tablewright.operators.schema import numeric_columns
+from tablewright.sources.stored_plans import storable
 
 STRATEGIES = ("standard", "minmax", "robust", "maxabs", "power", "quantile", "none")
 _CLIP = 1e-7
@@ -23,6 +24,7 @@ def _real(df: DataFrame, column: str) -> Column:
     return clean_number(F.col(column), df.schema[column].dataType).cast("double")
 
 
+@storable
 @dataclass(frozen=True)
 class LinearScale:
     """(x - centre) / width per column; a zero width divides by one."""
@@ -97,6 +99,7 @@ def inverse_yeo_johnson(y: Column, power: float) -> Column:
     return F.when(y >= 0, right).otherwise(left)
 
 
+@storable
 @dataclass(frozen=True)
 class PowerScale:
     """Yeo-Johnson with a fitted exponent per column, then standardised."""
@@ -152,6 +155,7 @@ def fit_power(df: DataFrame, columns: Sequence[str], low: float = -3.0, high: fl
 # --- quantile to normal ----------------------------------------------------------
 
 
+@storable
 @dataclass(frozen=True)
 class QuantileScale:
     """Piecewise-linear distribution function over a quantile grid, then the normal quantile."""

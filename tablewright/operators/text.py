@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.hashing import hash_slot
 from tablewright.operators.schema import string_columns
 from tablewright.session import spread
+from tablewright.sources.stored_plans import storable
 
 # Fixed value: words are runs of two or more letters, digits or underscores.
 WORD = r"[\p{L}\p{N}_]{2,}"
@@ -95,6 +96,7 @@ def vocabulary(df: DataFrame, column: str, spans: tuple[int, int] = (1, 2), min_
     return best.withColumn("position", F.row_number().over(Window.orderBy("term")) - 1)
 
 
+@storable
 @dataclass(frozen=True)
 class FittedText:
     """A bounded vocabulary with the number of documents it was learnt from."""

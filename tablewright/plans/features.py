@@ -16,8 +16,10 @@ from tablewright.operators.schema import datetime_columns, numeric_columns, stri
 from tablewright.operators.select import select_features
 from tablewright.operators.text import FittedText, detect_text_columns, fit_text
 from tablewright.session import hold
+from tablewright.sources.stored_plans import storable
 
 
+@storable
 @dataclass(frozen=True)
 class FeatureOptions:
     """What each stage does; ``key`` and ``passthrough`` columns are carried along."""
@@ -49,6 +51,7 @@ class FeatureOptions:
         return cls(**config)
 
 
+@storable
 @dataclass(frozen=True)
 class FittedFeatures:
     """Fitted stages; transforming is a chain of projections and bounded joins."""
@@ -161,6 +164,7 @@ def fit_features(
                           tuple(encoders), scaler, options.generate, tuple(outputs))
 
 
+@storable
 @dataclass(frozen=True)
 class _Chain:
     parts: tuple[object, ...]
