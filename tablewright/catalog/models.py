@@ -11,7 +11,7 @@ from tablewright.catalog.base import query, table
 from tablewright.operators import ensemble, models, score, tune
 from tablewright.operators.schema import small_frame
 from tablewright.plans.features import FeatureOptions
-from tablewright.plans.training import TrainingOptions, train
+from tablewright.plans.training import TrainingOptions, score_stored, train
 from tablewright.session import hold, scratch_path
 from tablewright.streaming import monitor
 
@@ -139,6 +139,20 @@ def train_workflow(spark, sf_dir):
     return small_frame(spark, rows, "metric string, value double")
 
 
+@query("stored_run_score", "SELECT o_orderkey, true AS same FROM orders")
+def stored_run_score(spark, sf_dir):
+    """A trained run stored as a version, loaded again, and held against the run in memory on every row."""
+    orders = _orders(spark, sf_dir).drop("price", "o_custkey")
+    store = scratch_path(spark, "store")
+    trained = train(orders, "large", "o_orderkey", "classification", FeatureOptions(text=False, generate=False),
+                    TrainingOptions(models=("linear",), folds=2, n_trials=0, stack=False), run_id="orders", store=store)
+    fresh, now = orders.drop("large"), ["prediction", "proba_class_0", "proba_class_1"]
+    stored = score_stored(spark, store, "orders", fresh, ["o_orderkey"], path=scratch_path(spark, "scores"))
+    held = trained.score(fresh, ["o_orderkey"]).select("o_orderkey", *[F.col(c).alias(f"held_{c}") for c in now])
+    same = F.forall(F.array(*[F.col(c).eqNullSafe(F.col(f"held_{c}")) for c in now]), lambda x: x)
+    return stored.join(held, "o_orderkey").select("o_orderkey", same.alias("same"))
+
+
 @query("score_model")
 def score_model(spark, sf_dir):
     """A fitted model applied to a whole table and stored as CSV."""

@@ -4,38 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
-from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.operators.boosting import PRESETS, HistogramBooster
 from tablewright.operators.metrics import class_metrics, ranking_metrics, regression_metrics, roc_auc_ovr
 from tablewright.operators.schema import small_frame
 
 SEED = 42
 
-# Boosting presets (trees, learning rate, depth, row share, smallest leaf).
-BOOSTING_PRESETS = {
-    "xgboost": {"maxIter": 500, "stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.8, "minInstancesPerNode": 1},
-    "lightgbm": {"maxIter": 1000, "stepSize": 0.05, "maxDepth": 5, "subsamplingRate": 0.8, "minInstancesPerNode": 20},
-    "catboost": {"maxIter": 1000, "stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 1.0, "minInstancesPerNode": 1},
-}
+#: Names that Spark's own boosters use for some options.
+_SPARK_NAMES = {"maxIter": "trees", "stepSize": "rate", "maxDepth": "depth", "subsamplingRate": "row_share", "minInstancesPerNode": "min_rows"}
 # Hidden layers and training limits of the neural classifier.
 MLP_LAYERS = (256, 128, 64)
 MLP_BLOCK, MLP_EPOCHS = 512, 200
 
 
-def assemble(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Rows for training: the kept columns, ``features`` and a double ``label``."""
-    rows = df.select(*keep, *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(f"_f{i}") for i, c in enumerate(features)],
-                     F.col(label).cast("double").alias("label"))
+def assemble(df: DataFrame, features: Sequence[str], label: str | None, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows for training: the kept columns, ``features`` and a double ``label`` (for scoring: none)."""
+    labels = [] if label is None else [F.col(label).cast("double").alias("label")]
+    rows = df.select(*keep, *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(f"_f{i}") for i, c in enumerate(features)], *labels)
     assembler = VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol="features")
-    return assembler.transform(rows).select(*keep, "features", "label")
+    return assembler.transform(rows).select(*keep, "features", *(["label"] if labels else []))
 
 
 def logistic(c: float = 1.0, n_rows: int = 1, **params) -> LogisticRegression:
@@ -58,20 +54,13 @@ def linear(kind: str = "ridge", alpha: float = 1.0, l1_ratio: float = 0.5, n_row
 
 
 def boosted(task: str, preset: str = "xgboost", n_classes: int = 2, validation: str | None = None, **params):
-    """Gradient-boosted trees; more than two classes are one booster per class.
+    """Gradient-boosted trees on histograms; more than two classes share one softmax.
 
-    With ``validation`` (a boolean column) boosting stops when those rows no longer improve.
+    With ``validation`` (a boolean column) boosting stops when those rows no longer improve, and the
+    model is cut to its best round. ``params`` are fields of ``BoostOptions`` over the preset's.
     """
-    settings = {**BOOSTING_PRESETS[preset], "seed": SEED, **params}
-    if validation:
-        settings = {"validationTol": 0.001, **settings, "validationIndicatorCol": validation}
-    if task == "regression":
-        return GBTRegressor(**settings)
-    if n_classes <= 2:
-        return GBTClassifier(**settings)
-    if validation:
-        raise ValueError("early stopping needs two classes or a numeric target")
-    return OneVsRest(classifier=GBTClassifier(**settings), parallelism=n_classes)
+    settings = {_SPARK_NAMES.get(k, k): v for k, v in params.items()}
+    return HistogramBooster(task, replace(PRESETS[preset], seed=SEED, **settings), n_classes, validation)
 
 
 def forest(task: str, **params):

@@ -14,15 +14,18 @@ from pyspark.sql import functions as F
 from tablewright.operators.metrics import HIGHER_IS_BETTER, signed
 from tablewright.operators.models import make_model, metric_table, run_parallel, scored_rows
 from tablewright.operators.split import kfold, stratified_kfold
+from tablewright.sources.stored_plans import storable
 
 # The ranges searched for each model family. A list is a choice, two
 # integers an integer range, two floats a range (on a log scale when it spans a factor
 # above ten).
 SEARCH_SPACES = {
     "linear": {"C": (0.01, 100.0), "alpha": (0.001, 100.0)},
-    "xgboost": {"maxIter": (100, 1000), "stepSize": (0.01, 0.3), "maxDepth": (3, 10), "subsamplingRate": (0.5, 1.0)},
-    "lightgbm": {"maxIter": (100, 2000), "stepSize": (0.01, 0.3), "minInstancesPerNode": (5, 100), "subsamplingRate": (0.5, 1.0)},
-    "catboost": {"maxIter": (100, 1000), "stepSize": (0.01, 0.3), "maxDepth": (4, 10)},
+    "xgboost": {"trees": (100, 1000), "rate": (0.01, 0.3), "depth": (3, 10), "row_share": (0.5, 1.0), "column_share": (0.5, 1.0),
+                "l1": (0.0, 5.0), "l2": (0.5, 5.0)},
+    "lightgbm": {"trees": (100, 2000), "rate": (0.01, 0.3), "leaves": (20, 300), "min_rows": (5, 100), "row_share": (0.5, 1.0),
+                 "column_share": (0.5, 1.0), "l1": (0.0, 5.0), "l2": (0.0, 5.0)},
+    "catboost": {"trees": (100, 1000), "rate": (0.01, 0.3), "depth": (4, 10), "l2": (1.0, 10.0)},
     "forest": {"numTrees": (50, 300), "maxDepth": (3, 12)},
 }
 
@@ -57,6 +60,7 @@ def cv_score(folded: DataFrame, make: Callable[[], object], task: str, metric: s
     return table.agg(F.avg(metric)).first()[0]
 
 
+@storable
 @dataclass(frozen=True)
 class Candidate:
     """A model family with parameters and its score, larger is better."""

@@ -5,17 +5,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.operators.boosting import HistogramBooster
 from tablewright.operators.ensemble import StackedModel, fit_stack
 from tablewright.operators.metrics import signed
-from tablewright.operators.models import assemble, make_model, metric_table, run_parallel, scored_rows
+from tablewright.operators.models import assemble, importances, make_model, metric_table, run_parallel, scored_rows
 from tablewright.operators.split import random_split, stratified_split
 from tablewright.operators.tune import Candidate, default_metric, search, select_models, with_folds
 from tablewright.plans.features import FeatureOptions, FittedFeatures, fit_features
 from tablewright.session import hold
 from tablewright.sources.artifacts import record_run
+from tablewright.sources.stored_plans import load_plan, save_plan, storable
 
 
 @dataclass(frozen=True)
@@ -30,6 +33,7 @@ class TrainingOptions:
     metric: str | None = None
 
 
+@storable
 @dataclass(frozen=True)
 class TrainedModel:
     """Fitted features and model, with how they were chosen."""
@@ -41,14 +45,45 @@ class TrainedModel:
     candidates: tuple[Candidate, ...]
     metrics: dict[str, float]
     label_order: tuple[str, ...]
+    task: str = "classification"
+
+    def score(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """``keep`` columns, ``prediction`` (the class name, or a number) and a probability for each class."""
+        ready = self.features.transform(df)
+        lost = [c for c in keep if c not in ready.columns]
+        if lost:
+            raise ValueError(f"columns not carried by the feature plan: {lost}")
+        scored = self.model.transform(assemble(ready, self.features.outputs, None, list(keep)))
+        if self.task == "regression":
+            return scored.select(*keep, "prediction")
+        names = F.array(*[F.lit(v) for v in self.label_order])
+        columns = [F.get(names, F.col("prediction").cast("int")).alias("prediction")]
+        for source in ("probability", "rawPrediction"):
+            if source in scored.columns:
+                p = vector_to_array(source)
+                columns += [F.get(p, F.lit(i)).alias(f"proba_class_{i}") for i in range(len(self.label_order))]
+                break
+        return scored.select(*keep, *columns)
+
+
+def score_stored(spark: SparkSession, root: str, name: str, df: DataFrame, keep: Sequence[str] = (), version: int | None = None,
+                 path: str | None = None, fmt: str = "parquet") -> DataFrame:
+    """Score rows with a stored run; with a path, written there and read back."""
+    scored = load_plan(spark, root, name, version).score(df, keep)
+    if path is None:
+        return scored
+    scored.write.mode("overwrite").format(fmt).option("header", True).save(path)
+    return spark.read.format(fmt).option("header", True).schema(scored.schema).load(path)
 
 
 def train(df: DataFrame, target: str, key: str, task: str, features: FeatureOptions = FeatureOptions(),
           options: TrainingOptions = TrainingOptions(), exclude: Sequence[str] = (), registry: str | None = None,
-          run_id: str = "run") -> TrainedModel:
+          run_id: str = "run", store: str | None = None) -> TrainedModel:
     """Split, fit features on the training part, choose and tune a model, and test it.
 
-    The stack replaces the tuned model only where it is better on the validation rows.
+    The stack replaces the tuned model only where it is better on the validation rows. With
+    ``registry`` the run's names and values are recorded, importances included; with ``store`` the
+    fitted run is stored there under ``run_id`` and can be loaded again.
     """
     metric = options.metric or default_metric(task)
     base = df.drop(*exclude).where(F.col(target).isNotNull())
@@ -75,23 +110,33 @@ def train(df: DataFrame, target: str, key: str, task: str, features: FeatureOpti
         tuned = search(folded, winner.name, task, options.space, options.n_trials, metric, n_classes)
         if tuned and tuned[0].rank_key > winner.rank_key:
             winner = tuned[0]
-    model: object = make_model(winner.name, task, n_classes, n_rows, winner.params).fit(train_rows)
+    estimator = make_model(winner.name, task, n_classes, n_rows, winner.params)
+    if isinstance(estimator, HistogramBooster):                          # boosting stops by the validation rows
+        estimator = HistogramBooster(task, estimator.options, n_classes, "is_val")
+        model: object = estimator.fit(rows.where("split IN ('train', 'val')").withColumn("is_val", F.col("split") == "val"))
+    else:
+        model = estimator.fit(train_rows)
     chosen, params = winner.name, winner.params
 
     def value(m, part: str) -> dict[str, float]:
         return metric_table(scored_rows(m, rows.where(F.col("split") == part), task, n_classes), task, n_classes).first().asDict()
 
-    stackable = [c for c in best if task == "regression" or n_classes == 2 or c.name in ("linear", "forest")]
-    if options.stack and len(stackable) >= 2:
-        makers = [lambda c=c: make_model(c.name, task, n_classes, n_rows, c.params) for c in stackable]
+    if options.stack and len(best) >= 2:
+        makers = [lambda c=c: make_model(c.name, task, n_classes, n_rows, c.params) for c in best]
         stacked: StackedModel = fit_stack(train_rows, key, makers, task == "classification", n_classes, options.folds, fit_all=run_parallel)
         if signed(metric, value(stacked, "val")[metric]) > signed(metric, value(model, "val")[metric]):
-            model, chosen, params = stacked, "stack", {"bases": [c.name for c in stackable]}
+            model, chosen, params = stacked, "stack", {"bases": [c.name for c in best]}
     metrics = value(model, "test")
     if registry is not None:
         record_run(df.sparkSession, registry, run_id, "params", {"model": chosen, **params})
         record_run(df.sparkSession, registry, run_id, "metrics", metrics)
         record_run(df.sparkSession, registry, run_id, "features", {f: i for i, f in enumerate(fitted.outputs)})
+        if chosen != "stack":
+            weights = {r["feature"]: r["importance"] for r in importances(model, fitted.outputs, df.sparkSession).collect()}
+            record_run(df.sparkSession, registry, run_id, "importances", weights)
+    trained = TrainedModel(fitted, model, chosen, params, tuple(best), metrics, labels, task)
+    if store is not None:
+        save_plan(df.sparkSession, trained, store, run_id, {"model": chosen, "metrics": {k: v for k, v in metrics.items() if isinstance(v, float)}})
     for table in (folded, rows, parts):
         table.unpersist()
-    return TrainedModel(fitted, model, chosen, params, tuple(best), metrics, labels)
+    return trained
