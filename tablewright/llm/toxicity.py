@@ -4,7 +4,8 @@ Labelled texts are TF-IDF vectors over terms that tell the labels apart (whole w
 beginnings, chosen on the labelled sample). A block-max inverted index holds, for each term,
 its largest weight in every block of examples; a query visits blocks in order of their bound
 and stops when no bound can beat its kth cosine, so the neighbours are exact. Votes weighted by
-distance are calibrated on labelled rows; a row of the sample never votes for itself.
+distance are calibrated on labelled rows, where a row of the sample does not vote for itself. A
+score follows from the text alone: all rows, examples or not, are scored by all examples.
 """
 
 from __future__ import annotations
@@ -167,6 +168,12 @@ def _calibration(bins: list[tuple[int, float, float]]) -> dict[int, float]:
     return {b: t / n for t, n, bs in blocks for b in bs}
 
 
+def _bin(pull: np.ndarray) -> int:
+    """The bin of the toxic share of votes (plain, toxic); -1 without votes."""
+    total = pull.sum()
+    return int(min(_BINS - 1, _BINS * pull[:, 1].sum() / total)) if total > 1e-12 else -1
+
+
 def score(docs: DataFrame, labels: DataFrame, examples_per_class: int = EXAMPLES_PER_CLASS, neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, held_out, score, predicted, evidence)`` for every row of ``docs``.
 
@@ -217,27 +224,28 @@ def score(docs: DataFrame, labels: DataFrame, examples_per_class: int = EXAMPLES
         index, idf, mass, names, number, weight = shared.value
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic_share", pa.float64())]))
         for batch in batches:
-            bins, evidence = [], []
+            bins, alone, evidence = [], [], []
             for terms, counts, label in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
                 ids = np.zeros(0, np.int64)
                 if terms and index is not None:
                     ids, cosine = index.nearest(*tf_idf(terms, counts, idf), neighbours)
                 if not len(ids):
                     bins.append(-1)
+                    alone.append(-1)
                     evidence.append([])
                     continue
+                near = (cosine / (1.05 - np.minimum(cosine, 1)))[:, None]
+                bins.append(_bin(mass[ids] * near))
                 own = mass[ids].copy()
-                if label is not None:                                    # one of the examples: its own vote goes
+                if label is not None:                                    # one of the examples, for calibration: its own vote goes
                     own[ids == number[(tuple(terms), tuple(counts))], label] -= weight[label]
-                pull = np.maximum(own, 0) * (cosine / (1.05 - np.minimum(cosine, 1)))[:, None]
-                all_ = pull.sum()
-                bins.append(int(min(_BINS - 1, _BINS * pull[:, 1].sum() / all_)) if all_ > 1e-12 else -1)
+                alone.append(_bin(np.maximum(own, 0) * near))
                 evidence.append([{"doc_id": names[i], "cosine": float(c), "toxic_share": float(m[1] / max(m.sum(), 1e-12))} for i, c, m in zip(ids[:3].tolist(), cosine, mass[ids[:3]])])
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "bin": pa.array(bins, pa.int32()), "evidence": pa.array(evidence, kind)})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "bin": pa.array(bins, pa.int32()), "alone": pa.array(alone, pa.int32()), "evidence": pa.array(evidence, kind)})
 
     marked = bags.join(F.broadcast(chosen), "doc_id", "left").select("doc_id", "terms", "counts", "toxic")
-    voted = stored(marked.mapInArrow(votes, "doc_id bigint, bin int, evidence array<struct<doc_id:bigint,cosine:double,toxic_share:double>>"), "votes")
-    told = voted.join(usable, "doc_id").groupBy("bin").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()
+    voted = stored(marked.mapInArrow(votes, "doc_id bigint, bin int, alone int, evidence array<struct<doc_id:bigint,cosine:double,toxic_share:double>>"), "votes")
+    told = voted.join(usable, "doc_id").groupBy(F.col("alone").alias("bin")).agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()
     apart = [(r.bin, r.n, r.t) for r in told if r.bin < 0]
     rates = _calibration([(r.bin, r.n, r.t) for r in told if r.bin >= 0])
     usable.unpersist()

@@ -334,6 +334,20 @@ def test_held_out_labels_are_never_read(spark):
     assert a == b
 
 
+def test_toxicity_follows_from_the_text_alone(spark):
+    """Twins of labelled texts under new doc_ids, with clashing columns and repeated rows, score alike."""
+    sf_dir = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    twins = docs.selectExpr("doc_id + 1000000 AS doc_id", "text").unionByName(docs.select("doc_id", "text")).selectExpr("*", "1 AS bin", "2 AS alone", "3 AS toxic", "4 AS score")
+    twins = twins.unionByName(twins.where("doc_id < 20"))
+    marks = labels.selectExpr("*", "'x' AS text", "0.5 AS score").unionByName(labels.selectExpr("*", "'x' AS text", "0.5 AS score").limit(50))
+    seen = {}
+    rows = toxicity.score(twins, marks).collect()
+    assert len(rows) == twins.count()
+    for r in rows:
+        assert seen.setdefault(r.doc_id % 1_000_000, (r.score, r.predicted)) == (r.score, r.predicted)
+
+
 def test_toxicity_without_labels(spark, empty):
     docs, labels, _ = toxic_corpus(spark)
     assert {r.score for r in toxicity.score(docs, labels.limit(0)).collect()} == {0.0}
