@@ -239,8 +239,10 @@ class _Blocks:
 
         flag = F.coalesce(F.col(validation), F.lit(False)) if validation else F.lit(False)
         source = rows.select(F.monotonically_increasing_id().alias("id"), vector_to_array("features").alias("x"), F.col("label").cast("double").alias("label"), flag.alias("held"))
-        self._keep(source.mapInArrow(made, self.schema))
-        self.slots = max(1, min(len(cuts) * self.k, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
+        # Small tables lie in few blocks: a pass costs little more than its tasks do.
+        full = max(1, -(-rows.count() // BLOCK_ROWS))
+        self._keep(source.coalesce(full).mapInArrow(made, self.schema))
+        self.slots = max(1, min(len(cuts) * self.k, full, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def _keep(self, df: DataFrame) -> None:
         path = scratch_path(self.spark, "blocks")
