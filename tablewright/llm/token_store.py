@@ -173,7 +173,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 block = Codes(codes)
                 ids, nulls, lengths = np.frombuffer(ids, "<i8"), np.frombuffer(nulls, bool), np.frombuffer(lengths, "<u4").astype(np.int64)
                 ends = np.cumsum(lengths)
-                crc = [zlib.crc32(block.slice(b - n, b).astype("<u4").tobytes()) for b, n in zip(ends.tolist(), lengths.tolist())]
+                held = memoryview(block.slice(0, block.length).astype("<u4").tobytes())
+                crc = [zlib.crc32(held[4 * (b - n):4 * b]) for b, n in zip(ends.tolist(), lengths.tolist())]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64(), mask=nulls), "start": pa.array(ends - lengths + start, pa.int64()),
                                                   "n_tokens": pa.array(lengths), "ids_crc32": pa.array(crc, pa.int64())})
 
