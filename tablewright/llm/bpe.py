@@ -35,6 +35,8 @@ _BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 #: White space to Python but not to Unicode's property: texts with them take the slow way.
 _ODD = re.compile("[\x1c-\x1f]")
 _DOUBLE = re.compile(r"\s\s")
+#: ASCII punctuation that never joins the letters before it; a run of it is one word.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def byte_letters() -> list[str]:
@@ -209,20 +211,21 @@ class Encoder:
             out.extend([part] if i % 2 else self._cut(part))        # a cut piece is never a special token
         return out
 
-    def _words(self, piece: str) -> list[str]:
-        """A piece that is not a plain word, cut into words."""
-        body, end = piece[:-1], piece[-1]
-        if end in ".,;:!?" and body.removeprefix(" ").isalpha():
-            return [body, end]
-        return self.split.findall(piece)
-
     def _learn(self, missing: set[str]) -> None:
         """Ids of new pieces into ``pieces``, which makes room by dropping its older generation."""
         if len(self.pieces) + len(missing) > CACHE_ENTRIES:
             self.older, self.pieces = self.pieces, dict(self.special_ids)
         missing = missing - self._recall(missing)
-        plain = {p for p in missing if p.removeprefix(" ").isalpha()}
-        words = {p: self._words(p) for p in missing - plain}
+        plain: set[str] = set()
+        words: dict[str, list[str] | tuple[str, str]] = {}
+        for p in missing:
+            body = p.rstrip(_MARKS)
+            if not body.removeprefix(" ").isalpha():
+                words[p] = self.split.findall(p)
+            elif len(body) < len(p):
+                words[p] = body, p[len(body):]
+            else:
+                plain.add(p)
         known = self.pieces
         inner = {w for ws in words.values() for w in ws if w not in known}
         fresh = list(plain | inner - self._recall(inner))
@@ -242,7 +245,8 @@ class Encoder:
             parts = [self._parts(t) for t in texts[start:stop]]
             ids = [list(map(self.pieces.get, p)) for p in parts]
             gaps = [(p, v, list(compress(count(), map(not_, v)))) for p, v in zip(parts, ids) if None in v]
-            self._learn({p[k] for p, _, at in gaps for k in at})
+            if gaps:
+                self._learn({p[k] for p, _, at in gaps for k in at})
             known = self.pieces
             for p, v, at in gaps:
                 for k in at:
