@@ -6,10 +6,12 @@ checked: truth ``l_returnflag = 'R'``, class ``l_discount > 0.05``, score from t
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tablewright.catalog.base import order_hash_sql, query, stack_sql, table
-from tablewright.operators import calibration, errors, explain, fairness, metrics, split
+from tablewright.operators import calibration, errors, explain, fairness, metrics, models, split, tree_attributions
+from tablewright.operators.boosting import BoostedModel, Trees
 
 _BINARY_SQL = """b AS (SELECT l_orderkey, l_linestatus, l_linenumber, l_quantity, l_discount, l_tax, l_extendedprice,
   (l_returnflag = 'R')::INTEGER AS y_true, (l_discount > 0.05)::INTEGER AS y_pred,
@@ -337,6 +339,40 @@ def shap_sampled(spark, sf_dir):
     return explain.global_importance(values)
 
 
+# A made-up tree. Quantity up to 25, then discount up to 0.05 (1 or 3), else tax up to 0.04 (2 or 6).
+_TREE_FEATURES = ["l_quantity", "l_discount", "l_tax"]
+_TREE = Trees(
+    feature=np.array([0, 1, 2, -1, -1, -1, -1]), cut=np.array([25.0, 0.05, 0.04, 0, 0, 0, 0]), missing_left=np.ones(7, bool),
+    left=np.array([1, 3, 5, -1, -1, -1, -1]), right=np.array([2, 4, 6, -1, -1, -1, -1]), value=np.array([0, 0, 0, 1.0, 3.0, 2.0, 6.0]),
+    weight=np.zeros(7), root=np.array([0]), kind=np.array([0]))
+
+
+def _tree_attribution_sql(feature: str) -> str:
+    """Shapley value over the eight sets of known features: q, d, t are the row's sides, sq, sd, st the shares."""
+    def worth(known):
+        q, d, t = (c if c in known else f"s{c}" for c in "qdt")
+        return f"({q} * ({d} + 3 * (1 - {d})) + (1 - {q}) * (2 * {t} + 6 * (1 - {t})))"
+
+    a, b = (c for c in "qdt" if c != feature)
+    terms = [f"({worth(feature + s)} - {worth(s)}) / {w}.0" for s, w in (("", 3), (a, 6), (b, 6), (a + b, 3))]
+    return " + ".join(terms)
+
+
+_TREE_SQL = """s AS (SELECT l_orderkey, l_linenumber, (l_quantity <= 25)::INTEGER::DOUBLE AS q, (l_discount <= 0.05)::INTEGER::DOUBLE AS d, (l_tax <= 0.04)::INTEGER::DOUBLE AS t FROM lineitem),
+p AS (SELECT avg(q) AS sq, sum(q * d) / sum(q) AS sd, sum((1 - q) * t) / sum(1 - q) AS st FROM s)"""
+
+
+@query("shap_trees", f"WITH {_TREE_SQL} " + " UNION ALL ".join(
+    f"SELECT l_orderkey, l_linenumber, 0 AS output, '{f}' AS feature, round({_tree_attribution_sql(c)}, 6) AS contribution FROM s, p"
+    for f, c in zip(_TREE_FEATURES, "qdt")))
+def shap_trees(spark, sf_dir):
+    """Exact attributions of a made-up tree, averaged over all of lineitem where a feature is unknown."""
+    rows = models.assemble(table(spark, sf_dir, "lineitem"), _TREE_FEATURES, None, ["l_orderkey", "l_linenumber"])
+    model = BoostedModel("regression", 3, 1, np.zeros(1), _TREE, np.zeros(3))
+    model = tree_attributions.with_background(model, rows)
+    return _round_all(tree_attributions.tree_attributions(rows, ["l_orderkey", "l_linenumber"], model, _TREE_FEATURES), 6)
+
+
 @query("importance_topn", f"WITH {_SHAP_SQL} SELECT feature, round(avg(abs(contribution)), 9) AS importance FROM sv GROUP BY feature ORDER BY importance DESC, feature LIMIT 2")
 def importance_topn(spark, sf_dir):
     values = explain.linear_attributions(table(spark, sf_dir, "lineitem"), ["l_orderkey"], _COEFFICIENTS)
