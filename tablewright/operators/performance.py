@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewright.operators.metrics import HIGHER_IS_BETTER
@@ -19,31 +19,48 @@ def last_rows(df: DataFrame, time: str, key: str, n: int = 1000) -> DataFrame:
 
 
 def rolling_metrics(df: DataFrame, partition: Sequence[str], time: str, key: str, n: int = 1000,
-                    truth: str = "y_true", predicted: str = "y_pred", block: int = 100_000) -> DataFrame:
+                    truth: str = "y_true", predicted: str = "y_pred") -> DataFrame:
     """mae and rmse over the last n rows of the partition (a model) at every row.
 
-    One partition may hold most of the rows, so it is cut into blocks by row number;
-    every block also gets the n - 1 rows before it, and no task orders more than that.
-    ``key`` identifies rows.
+    Rows are numbered and cut into blocks of n. A window that ends inside a block is the end of
+    the block before and the start of this one, so one sum from each block's end and one from its
+    start give every window: the cost of a row does not depend on n, nothing is subtracted, and
+    no group holds more than 2n rows however large a partition is. ``key`` identifies rows. An
+    error that is NULL does not count; a window of none has NULL metrics and 0 rows.
     """
-    block = max(block, n)
     partition = list(partition)
     e = F.col(truth).cast("double") - F.col(predicted).cast("double")
-    rows = df.select(*partition, F.struct(F.col(time).alias("t"), F.col(key).alias("k")).alias("_at"),
-                     e.alias("_e"), F.lit(1).cast("bigint").alias("_one"))
+    rows = df.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(partition)],
+                     F.struct(F.col(time).alias("t"), F.col(key).alias("k")).alias("_at"), e.alias("_e"), F.lit(1).cast("bigint").alias("_one"))
+    by = [f"_p{i}" for i in range(len(partition))]
     number = F.col("run__one") - 1
-    own = F.floor(number / block).cast("bigint")
-    ends_block = F.pmod(number, F.lit(block).cast("bigint")) > block - n
-    numbered = running_sums(rows, partition, "_at", ["_one"]).withColumn("_own", own).withColumn(
-        "_block", F.explode(F.array_compact(F.array(F.col("_own"), F.when(ends_block, F.col("_own") + 1)))))
-    window = Window.partitionBy(*partition, "_block").orderBy("_at").rowsBetween(-(n - 1), Window.currentRow)
-    return (
-        numbered.withColumn("mae", F.avg(F.abs("_e")).over(window))
-        .withColumn("rmse", F.sqrt(F.avg(F.col("_e") * F.col("_e")).over(window)))
-        .withColumn("window_rows", F.count("_e").over(window))
-        .where(F.col("_block") == F.col("_own"))
-        .select(*partition, F.col("_at.k").alias(key), F.col("_at.t").alias(time), "mae", "rmse", "window_rows")
-    )
+    size = F.lit(n).cast("bigint")
+    blocks = F.array(F.struct(F.floor(number / size).cast("bigint").alias("_block"), F.lit(False).alias("_guest")),
+                     F.struct((F.floor(number / size) + 1).cast("bigint").alias("_block"), F.lit(True).alias("_guest")))
+    placed = running_sums(rows, by, "_at", ["_one"]).select(
+        *by, "_at", "_e", F.pmod(number, size).alias("_place"), F.inline(blocks)).where(
+        ~F.col("_guest") | (F.col("_place") > 0)).repartition(*by, "_block")
+    # Guests are summed from their block's end, own rows from their block's start.
+    towards = Window.partitionBy(*by, "_block", "_guest").orderBy(F.when(F.col("_guest"), -F.col("_place")).otherwise(F.col("_place")))
+    until = towards.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    there = F.col("_e").isNotNull()
+    summed = placed.select(*by, "_at", "_block", "_guest", "_place", F.struct(
+        F.sum(F.when(there, F.abs("_e")).otherwise(0.0)).over(until).alias("abs"),
+        F.sum(F.when(there, F.col("_e") * F.col("_e")).otherwise(0.0)).over(until).alias("sq"),
+        F.count("_e").over(until).alias("n")).alias("_s"))
+    # The guest one place further on stands right before its own row.
+    meeting = Window.partitionBy(*by, "_block").orderBy(F.when(F.col("_guest"), F.col("_place") - 1).otherwise(F.col("_place")), F.desc("_guest"))
+    met = summed.withColumn("_g", F.lag(F.when(F.col("_guest"), F.col("_s"))).over(meeting)).where(~F.col("_guest"))
+
+    def total(name: str) -> Column:
+        return F.col(f"_s.{name}") + F.coalesce(F.col(f"_g.{name}"), F.lit(0))
+
+    counted = met.withColumn("window_rows", total("n"))
+    some = F.col("window_rows") > 0
+    return counted.select(
+        *[F.col(b).alias(c) for b, c in zip(by, partition)], F.col("_at.k").alias(key), F.col("_at.t").alias(time),
+        F.when(some, total("abs") / F.col("window_rows")).alias("mae"),
+        F.when(some, F.sqrt(total("sq") / F.col("window_rows"))).alias("rmse"), "window_rows")
 
 
 def degradation(baseline: DataFrame, current: DataFrame, threshold: float = 0.05) -> DataFrame:
