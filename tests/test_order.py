@@ -119,3 +119,20 @@ def test_stratified_split_with_many_classes(spark):
     df = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") % 500).cast("string").alias("y"))
     rows = split.stratified_split(df, "k", "y").groupBy("y", "split").count().collect()
     assert len({r["y"] for r in rows}) == 500 and {(r["split"], r["count"]) for r in rows} == {("test", 2), ("val", 1), ("train", 7)}
+
+
+def test_passes_read_a_row_once_for_all_columns(spark, monkeypatch):
+    from tablewright.operators import order
+
+    df = spark.range(400).select(F.col("id").cast("double").alias("a"), (F.col("id") - (1 << 62)).alias("b"), F.lit(-(1 << 63)).alias("c"))
+    sizes, plain = [], order._histogram
+    monkeypatch.setattr(order, "_histogram", lambda rows, *a: sizes.append(rows.count()) or plain(rows, *a))
+    found = quantiles(df, {c: F.col(c) for c in df.columns}, [0.5])
+    assert found == {"a": [199.5], "b": [199.5 - (1 << 62)], "c": [-float(1 << 63)]}
+    assert sizes and set(sizes) == {400}
+
+
+def test_nan_counts_as_the_largest_value(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (float("inf"),), (None,), (-2.0,)], "x double")
+    found = {r: v.value for r, v in select_ranks(df, {"x": F.col("x")}, {"x": [0, 1, 2, 3]})["x"].items()}
+    assert [found[r] for r in range(3)] == [-2.0, 1.0, float("inf")] and found[3] != found[3]
