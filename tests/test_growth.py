@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from tablewright.catalog import models as catalog
 from tablewright.operators import boosting, scale
+from tablewright.plans.features import FeatureOptions
+from tablewright.plans.training import TrainingOptions, train
 
 
 def test_a_run_is_trained_and_scored_on_rows_written_once(spark, monkeypatch):
@@ -52,3 +54,30 @@ def test_exponents_are_scored_on_one_row_per_row(spark, monkeypatch):
 
     assert set(sizes) == {351} and found["k"] == 1.0
     assert all(likelihood(found["x"]) >= likelihood(found["x"] + d) for d in (-0.01, 0.01))
+
+
+def test_a_workflow_fits_each_model_once_and_reads_its_rows_once(spark, monkeypatch):
+    """Search, stack and final model use the fits of the model choice where settings and rows are the same."""
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+
+    fits, read = [], spark.sparkContext.accumulator(0)
+    for kind in (LogisticRegression, RandomForestClassifier):
+        monkeypatch.setattr(kind, "fit", lambda self, df, plain=kind.fit: fits.append(type(self).__name__) or plain(self, df))
+
+    def passed(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(300).select("id", (F.col("id") % 17).cast("double").alias("x"), F.pmod(F.col("id") * 7, F.lit(5)).cast("double").alias("z"),
+                                   F.when(F.col("id") % 17 + F.col("id") % 5 > 9, 1).otherwise(0).alias("y"))
+    df = rows.mapInArrow(passed, rows.schema)
+    trained = train(df, "y", "id", "classification", FeatureOptions(text=False, generate=False, select=False),
+                    TrainingOptions(models=("linear", "forest"), params={"forest": {"numTrees": 3, "maxDepth": 3}}, folds=2, n_trials=2,
+                                    space={"C": [1.0]}))
+    assert trained.metrics["roc_auc"] > 0.8 and read.value == 300
+    linear, forest = fits.count("LogisticRegression"), fits.count("RandomForestClassifier")
+    if trained.candidates[0].name == "linear":
+        assert (linear, forest) == (2 + 1 + 1, 2 + 1)                    # folds, all rows; the meta-learner is a linear one
+    else:
+        assert forest <= 2 + 1 + 2 and linear == 2 + 1 + 1
