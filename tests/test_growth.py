@@ -81,3 +81,26 @@ def test_a_workflow_fits_each_model_once_and_reads_its_rows_once(spark, monkeypa
         assert (linear, forest) == (2 + 1 + 1, 2 + 1)                    # folds, all rows; the meta-learner is a linear one
     else:
         assert forest <= 2 + 1 + 2 and linear == 2 + 1 + 1
+
+
+def test_quantile_shares_are_placed_by_batch(spark):
+    """Functions over arrays run interpreted for each row and edge: none is left in the plan."""
+    values = [None, float("nan"), float("-inf"), -3.0, 0.0, -0.0, 1.0, 1.5, 2.0, 2.5, 4.0, 9.0, float("inf")]
+    df = spark.createDataFrame([(v, 7.0) for v in values], "x double, k double")
+    grid = (0.0, 1.0, 1.0, 2.0, 4.0)
+    scaled = scale.QuantileScale({"x": grid, "k": (7.0, 7.0)}, normal=False).transform(df)
+    assert "lambda" not in scaled._jdf.queryExecution().optimizedPlan().toString()
+
+    def share(x):
+        if x is None or x != x:
+            return None
+        if x <= grid[0] or x >= grid[-1]:
+            return float(x >= grid[-1])
+        places = []
+        for n in (sum(e <= x for e in grid), sum(e < x for e in grid)):
+            a = min(max(n - 1, 0), len(grid) - 2)
+            width = grid[a + 1] - grid[a]
+            places.append((a + min(max((x - grid[a]) / width, 0.0), 1.0) if width else a) / (len(grid) - 1))
+        return sum(places) / 2
+
+    assert [(r["x"], r["k"]) for r in scaled.collect()] == [(share(v), 0.0) for v in values]
