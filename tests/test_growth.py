@@ -1,6 +1,7 @@
 """Steps whose work has to grow no faster than the rows they read."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tablewright.catalog import models as catalog
@@ -104,3 +105,26 @@ def test_quantile_shares_are_placed_by_batch(spark):
         return sum(places) / 2
 
     assert [(r["x"], r["k"]) for r in scaled.collect()] == [(share(v), 0.0) for v in values]
+
+
+def test_a_perceptron_reads_equal_rows_once_for_each_step(spark, monkeypatch):
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+
+    from tablewright.operators import models, perceptron
+
+    df = spark.range(700).select((F.col("id") % 10 / 10.0).alias("a"), (F.col("id") % 4).cast("double").alias("b"),
+                                 F.when(F.col("id") % 10 + F.col("id") % 3 > 5, 1).otherwise(0).alias("y"))
+    rows = models.assemble(df, ["a", "b"], "y").repartition(3).cache()
+    sizes, plain = set(), perceptron._evaluate
+
+    def evaluate(blocks, *args):
+        sizes.add(sum(len(r["cells"]) // 8 // 4 for r in blocks.collect()))
+        return plain(blocks, *args)
+
+    monkeypatch.setattr(perceptron, "_evaluate", evaluate)
+    found = models.perceptron(2, 2, [3], maxIter=8).fit(rows)
+    spark_own = MultilayerPerceptronClassifier(layers=[2, 3, 2], blockSize=1, seed=models.SEED, maxIter=8).fit(rows)
+    assert sizes == {rows.distinct().count()} and max(sizes) < 100
+    assert np.abs(found.weights.toArray() - spark_own.weights.toArray()).max() < 1e-6
+    with pytest.raises(ValueError):
+        models.perceptron(2, 2, [3]).fit(models.assemble(df, ["a", "b"], "y").withColumn("label", F.col("label") * 2))
