@@ -5,6 +5,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from tablewright.catalog import models as catalog
 from tablewright.operators import boosting, models
 from tablewright.operators.boosting import BoostOptions, HistogramBooster
 from tablewright.session import scratch_path
@@ -122,3 +123,73 @@ def test_odd_tables(spark):
     x = np.array([[1.0, np.nan]] * 6)
     model = HistogramBooster("regression", BoostOptions(trees=2)).fit(frame(spark, x, [1, 2, 3, None, 1, 2]))
     assert np.allclose(predicted(model, frame(spark, x, [0.0] * 6)), 9 / 5)
+
+
+def test_a_walk_by_places_among_cuts_is_the_plain_walk():
+    rng = np.random.default_rng(6)
+    nodes, root = [], []
+    for _ in range(4):
+        at = len(nodes)
+        root.append(at)
+        for i in range(3):
+            nodes.append((int(rng.integers(3)), float(rng.choice([-1.0, 0.0, 0.5, 2.0, np.inf])), bool(rng.integers(2)), at + 2 * i + 1, at + 2 * i + 2, 0.0, 0.0))
+        nodes += [(-1, 0.0, True, -1, -1, float(rng.normal()), 0.0) for _ in range(4)]
+    kinds = (np.int64, float, bool, np.int64, np.int64, float, float)
+    t = boosting.Trees(*[np.array(v, k) for v, k in zip(zip(*nodes), kinds)], np.array(root), np.array([0, 1, 0, 1]))
+    x = rng.choice([np.nan, -np.inf, -1.0, -0.0, 0.25, 0.5, 2.0, 3.0, np.inf], (200, 4))
+
+    def plain(kept):
+        out = np.tile([0.5, -0.5], (len(x), 1))
+        for r, row in enumerate(x):
+            for a, k in zip(root[:kept], (0, 1, 0, 1)):
+                while t.feature[a] >= 0:
+                    v = row[t.feature[a]]
+                    a = t.left[a] if (t.missing_left[a] if np.isnan(v) else v <= t.cut[a]) else t.right[a]
+                out[r, k] += t.value[a]
+        return out
+
+    for kept in (4, 2, 0):
+        cut = boosting.replace(t, root=t.root[:kept], kind=t.kind[:kept])
+        assert np.array_equal(cut.margins(x, np.array([0.5, -0.5])), plain(kept))
+
+
+def test_one_task_and_many_grow_the_same_trees(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(boosting, "WORK_ROWS", 100)
+    monkeypatch.setattr(boosting, "WRITE_ROUNDS", 3)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(600, 5))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    y = np.digitize(np.nan_to_num(x[:, 0]) + np.nan_to_num(x[:, 1], nan=1.0), [-0.5, 0.8])
+    df = frame(spark, x, [None if i == 5 else t for i, t in enumerate(y)], np.arange(600) % 4 == 0)
+    made, plain = [], boosting._Blocks.__init__
+    monkeypatch.setattr(boosting._Blocks, "__init__", lambda self, *a: made.append(1) or plain(self, *a))
+    o = BoostOptions(trees=8, rate=0.3, depth=3, row_share=0.8, column_share=0.8, min_hessian=1.0, patience=3)
+    models_ = []
+    for blocks, sums in ((16, 64 << 20), (0, 64 << 20), (0, 0)):          # in one task, summed by the driver, summed in a shuffle
+        monkeypatch.setattr(boosting, "NEAR_BLOCKS", blocks)
+        monkeypatch.setattr(boosting, "SUM_BYTES", sums)
+        models_.append(HistogramBooster("classification", o, 3, "held").fit(df))
+    near, *far = models_
+    assert len(made) == 2 and len(near.curve) > 3
+    for m in far:
+        assert np.array_equal(m.trees.feature, near.trees.feature) and np.array_equal(m.trees.cut, near.trees.cut)
+        assert np.allclose(m.trees.value, near.trees.value) and np.allclose(m.curve, near.curve) and m.best_round == near.best_round
+
+
+def test_the_multiclass_query_runs_its_preset_as_defined(spark, monkeypatch):
+    """500 rounds at rate 0.05, ended by patience alone, and no fewer, larger steps."""
+    rng = np.random.default_rng(8)
+    n = 400
+    lines, quantity = rng.integers(1, 8, n), rng.integers(1, 200, n).astype(float)
+    price = 30000.0 * lines + 100 * quantity
+    rows = [(i, int(a), float(b), float(b % 10 / 100), float(p + rng.normal() * 20000), float(p)) for i, (a, b, p) in enumerate(zip(lines, quantity, price))]
+    orders = spark.createDataFrame(rows, "o_orderkey int, n_lines int, quantity double, discount double, o_totalprice double, price double")
+    monkeypatch.setattr(catalog, "_orders", lambda spark, sf_dir: orders)
+    fitted, plain = [], HistogramBooster.fit
+    monkeypatch.setattr(HistogramBooster, "fit", lambda self, df: fitted.append(plain(self, df)) or fitted[-1])
+    found = catalog.fit_multiclass(spark, "").collect()
+    model, = fitted
+    assert model.options == boosting.PRESETS["xgboost"] and (model.options.trees, model.options.rate) == (500, 0.05)
+    assert len(model.curve) == min(500, model.best_round + 50) > 50
+    assert [tuple(r) for r in found] == [("xgboost", True, True, True, True)]
