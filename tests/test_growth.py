@@ -128,3 +128,17 @@ def test_a_perceptron_reads_equal_rows_once_for_each_step(spark, monkeypatch):
     assert np.abs(found.weights.toArray() - spark_own.weights.toArray()).max() < 1e-6
     with pytest.raises(ValueError):
         models.perceptron(2, 2, [3]).fit(models.assemble(df, ["a", "b"], "y").withColumn("label", F.col("label") * 2))
+
+
+def test_writing_margins_adds_no_parts(spark, monkeypatch):
+    """Files larger than a split of the store are read in pieces: their number must not grow with the rounds."""
+    from pyspark.ml.functions import array_to_vector
+
+    monkeypatch.setattr(boosting, "NEAR_BLOCKS", 0)
+    monkeypatch.setattr(boosting, "WRITE_ROUNDS", 1)
+    parts, plain, read = [], boosting._Blocks.write, spark.sparkContext.pickleFile
+    monkeypatch.setattr(boosting._Blocks, "write", lambda self: plain(self) or parts.append(self.margins.getNumPartitions()))
+    monkeypatch.setattr(spark.sparkContext, "pickleFile", lambda path: read(path, 64))       # pieces as of large files
+    rows = spark.range(400).select(array_to_vector(F.array((F.col("id") % 20).cast("double"))).alias("features"), (F.col("id") % 20).cast("double").alias("label"))
+    boosting.HistogramBooster("regression", boosting.BoostOptions(trees=3, depth=2)).fit(rows)
+    assert len(parts) == 3 and set(parts) == {1}
